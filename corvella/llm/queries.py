@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvella.llm import chunks, neardup
+from corvella.llm import chunks, neardup, spam
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -30,6 +30,14 @@ def p3_valleys(spark, d):
     return chunks.split_oversized(_read(spark, d, "ingest_chunks"), method="valleys")
 
 
+def p8_found(spark, d):
+    return spam.spam_pages(_read(spark, d, "documents")).where("spam").select("doc_id")
+
+
+def p8_scores(spark, d):
+    return spam.spam_pages(_read(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
 
