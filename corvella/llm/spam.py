@@ -267,7 +267,7 @@ def spam_pages(
     spread: float = 5.5,
     floor: float = 0.25,
     ceiling: float = 0.65,
-    repeats: float = 0.25,
+    repeats: float = 0.3,
     least_pairs: int = 8,
 ) -> DataFrame:
     """The scores of ``collocation_scores`` with ``salad``, ``stuffed`` and ``spam``.
