@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvella.llm import chunks, neardup, spam
+from corvella.llm import chunks, leakage, neardup, spam
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -30,6 +30,16 @@ def p3_valleys(spark, d):
     return chunks.split_oversized(_read(spark, d, "ingest_chunks"), method="valleys")
 
 
+def p6_found(spark, d):
+    return leakage.leaked_items(_read(spark, d, "documents"), _read(spark, d, "eval_items")).select("doc_id", "item_id").distinct()
+
+
+def p6_coverage(spark, d):
+    """Also passages that stand in pieces or another order: seeds of eight words, tiles of five."""
+    found = leakage.leaked_items(_read(spark, d, "documents"), _read(spark, d, "eval_items"), seed_words=8)
+    return found.where("coverage >= 0.5")
+
+
 def p8_found(spark, d):
     return spam.spam_pages(_read(spark, d, "documents")).where("spam").select("doc_id")
 
