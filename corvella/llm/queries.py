@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvella.llm import chunks, leakage, neardup, spam
+from corvella.llm import chunks, leakage, mixture, neardup, spam
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -40,6 +40,19 @@ def p6_coverage(spark, d):
     return found.where("coverage >= 0.5")
 
 
+def p7_found(spark, d):
+    counted = mixture.counted_documents(_read(spark, d, "documents"))
+    return mixture.plan_mix(counted, _read(spark, d, "mix_targets"))[1].where("misses").select("source")
+
+
+def p7_sample(spark, d):
+    return mixture.mix_sources(_read(spark, d, "documents"), _read(spark, d, "mix_targets"))[0]
+
+
+def p7_shares(spark, d):
+    return mixture.mix_sources(_read(spark, d, "documents"), _read(spark, d, "mix_targets"))[1]
+
+
 def p8_found(spark, d):
     return spam.spam_pages(_read(spark, d, "documents")).where("spam").select("doc_id")
 
