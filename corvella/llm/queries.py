@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvella.llm import chunks, leakage, mixture, neardup, spam
+from corvella.llm import chunks, leakage, mixture, neardup, spam, vamana
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -30,6 +30,15 @@ def p3_valleys(spark, d):
     return chunks.split_oversized(_read(spark, d, "ingest_chunks"), method="valleys")
 
 
+def p5_found(spark, d):
+    return vamana.similar_pairs(vamana.similar_vectors(_read(spark, d, "documents"), probes=2))
+
+
+def p5_neighbours(spark, d):
+    """The rows whose id is divisible by 50 against all shards, of whatever similarity."""
+    return vamana.similar_vectors(_read(spark, d, "documents"), query_every=50, probes=None, beam=48)
+
+
 def p6_found(spark, d):
     return leakage.leaked_items(_read(spark, d, "documents"), _read(spark, d, "eval_items")).select("doc_id", "item_id").distinct()
 
