@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvella.llm import chunks, leakage, mixture, neardup, spam, vamana
+from corvella.llm import chunks, leakage, mixture, neardup, pii, spam, vamana
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,6 +21,15 @@ def p1_found(spark, d):
     return neardup.group_pairs(neardup.near_duplicates(_read(spark, d, "documents"), width=3, threshold=0.5, bands=64, rows=4))
 
 
+def p2_found(spark, d):
+    return pii.personal_items(_read(spark, d, "documents")).select("doc_id", "field", "kind", "start_pos")
+
+
+def p2_redacted(spark, d):
+    docs = _read(spark, d, "documents").select("doc_id", "text", "metadata_json")
+    return pii.redacted(docs, key=b"corvella test key")
+
+
 def p3_found(spark, d):
     pieces = chunks.split_oversized(_read(spark, d, "ingest_chunks"), method="separators")
     return pieces.select("chunk_id", "piece_index", "char_start", "char_end")
