@@ -29,7 +29,7 @@ PHONE = re.compile(
     r"|\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?:\s?(?:ext\.?|x)\s?\d{1,5})?"
     r"|\d{3}([ .-])\d{3}\1\d{4}(?:\s?(?:ext\.?|x)\s?\d{1,5})?"
     r"|(?:\+|00)44[ .-]?(?:\(0\))?[ .-]?\d{2,5}[ .-]?\d{3,4}[ .-]?\d{3,4}"
-    r"|(?:\+|00)(?:33|34|49|39|41|43|31|32)(?:[ ./-]?\(?\d{1,11}\)?)(?:[ ./-]?\d{2,8}){0,6}"
+    r"|(?:\+|00)(?:33|34|49|39|41|43|31|32)(?:[ ./-]?\(0\))?(?:[ ./-]?\(?\d{1,11}\)?)(?:[ ./-]?\d{2,8}){0,6}(?!\d)"
     r"|\((?:\+|00)\d{1,3}\)(?:[ ./-]?\d{1,9}){2,6}"
     r"|\+\d{1,3}(?:[ ./-]?\(?\d{1,9}\)?){2,6}"
     r"|020[ ]?\d{4}[ ]?\d{4}|0[12378]\d{2,3}[ ]\d{3}[ ]?\d{3,4}"
@@ -86,7 +86,10 @@ _MALE, _FEMALE = {"mr", "herr", "herrn", "m", "sr", "don"}, {"mrs", "ms", "miss"
 
 _ESCAPE = re.compile(r'\\(?:u[0-9a-fA-F]{4}|.)', re.S)
 _SIMPLE = {"n": "\n", "t": " ", "r": "\n", "b": " ", "f": " "}
-_ODD = re.compile("[­​‌‍﻿]|[ \t   ]{2,}|[\t   ]|\r\n?")
+#: Soft hyphen, zero-width characters and byte-order mark.
+_INVISIBLE = "\u00ad\u200b\u200c\u200d\ufeff"
+_BLANK = " \t\u00a0\u2009\u202f"
+_ODD = re.compile(rf"[{_INVISIBLE}]|[{_BLANK}]{{2,}}|[{_BLANK[1:]}]|\r\n?")
 
 
 def _mapped(raw: str, pattern: re.Pattern, change) -> tuple[str, list[int] | None]:
@@ -111,7 +114,7 @@ def _unescape(e: str) -> str:
 
 
 def _smooth(e: str) -> str:
-    return "\n" if e[0] == "\r" else "" if e[0] in "­​‌‍﻿" else " "
+    return "\n" if e[0] == "\r" else "" if e[0] in _INVISIBLE else " "
 
 
 def readable(raw: str, is_json: bool) -> tuple[str, list[int] | None]:

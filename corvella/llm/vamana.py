@@ -280,7 +280,7 @@ def similar_vectors(
         cat = lambda v, t: pa.array(np.concatenate(v) if v else [], t)
         return pa.table({"id": cat(out_i, pa.int64()), "neighbour": cat(out_n, pa.int64()), "similarity": cat(out_s, pa.float64())})
 
-    kept = reps.mapInArrow(route, "shard int, home boolean, asks boolean, id bigint, vec binary").groupBy("shard").applyInArrow(shard, schema)
+    kept = reps.mapInArrow(route, "shard int, home boolean, asks boolean, id bigint, vec binary").repartition(3 * cells, "shard").groupBy("shard").applyInArrow(shard, schema)
     ranked = Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour")
     top = lambda d: d.withColumn("place", F.row_number().over(ranked)).where(f"place <= {k}").drop("place")
     kept = top(kept)
