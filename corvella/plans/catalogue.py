@@ -1,9 +1,45 @@
 """The queries over the engine's own operators and their SQL."""
 
+from corvella.operators.eager import eager_join_aggregate, large_groups
+
+
+def _read(spark, d, table):
+    return spark.read.parquet(f"{d}/{table}.parquet")
+
+
+def p4_found(spark, d):
+    return large_groups(_read(spark, d, "documents"), _read(spark, d, "vault_namespaces"), 0.04).select("namespace")
+
+
+def p4_activity(spark, d):
+    """Joined rows, and sums over them, of each namespace's documents and operations."""
+    return eager_join_aggregate(
+        _read(spark, d, "documents"),
+        _read(spark, d, "audit_log"),
+        [("namespace", "namespace")],
+        group_left=["namespace"],
+        rows="joined_rows",
+        measures={
+            "chars": ("left", "sum", "n_chars"),
+            "sized": ("left", "count", "n_chars"),
+            "operations": ("right", "count", "audit_id"),
+            "last_doc": ("left", "max", "doc_id"),
+            "first_audit": ("right", "min", "audit_id"),
+        },
+    )
+
+
+SQL = {
+    "p4_found": "SELECT namespace FROM documents WHERE namespace IS NOT NULL GROUP BY namespace HAVING count(*) >= 0.04 * (SELECT count(*) FROM documents)",
+    "p4_activity": """SELECT d.namespace, count(*)::BIGINT AS joined_rows, sum(n_chars)::BIGINT AS chars, count(n_chars)::BIGINT AS sized,
+        count(audit_id)::BIGINT AS operations, max(d.doc_id) AS last_doc, min(audit_id) AS first_audit
+        FROM documents d JOIN audit_log a ON a.namespace = d.namespace GROUP BY d.namespace""",
+}
+
 
 def queries():
-    return {}
+    return {"p4_found": p4_found, "p4_activity": p4_activity}
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)
