@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from corvella.operators.dense import ranked
 
-_ALL = Window.partitionBy("qid")
+def _all():
+    return Window.partitionBy("qid")
+
 
 
 def recency(df: DataFrame, weight: float, now: float, created: str = "created_at") -> DataFrame:
@@ -17,15 +19,15 @@ def recency(df: DataFrame, weight: float, now: float, created: str = "created_at
     if weight <= 0:
         return df
     age = F.lit(float(now)) - F.col(created)
-    most = F.max(age).over(_ALL)
+    most = F.max(age).over(_all())
     fresh = 1 - age / F.when(most == 0, 1.0).otherwise(most)
     return df.withColumn("score", (1 - weight) * F.col("score") + weight * fresh)
 
 
 def amplitude_encode(df: DataFrame, score: str = "score", name: str = "amplitude") -> DataFrame:
     """Scores at norm 1 within their query; equal parts where all are 0."""
-    size = F.sqrt(F.sum(F.col(score) * F.col(score)).over(_ALL))
-    return df.withColumn(name, F.when(size > 0, F.col(score) / size).otherwise(1 / F.sqrt(F.count(F.lit(1)).over(_ALL))))
+    size = F.sqrt(F.sum(F.col(score) * F.col(score)).over(_all()))
+    return df.withColumn(name, F.when(size > 0, F.col(score) / size).otherwise(1 / F.sqrt(F.count(F.lit(1)).over(_all()))))
 
 
 def amplitude_decode(df: DataFrame, norm: Column, amplitude: str = "amplitude", name: str = "score") -> DataFrame:
@@ -42,9 +44,9 @@ def reflect(df: DataFrame, iterations: int | None = None, amplitude: str = "ampl
 
     Two mirrorings cancel, so an odd number is one and an even number none; a single row stays.
     """
-    n = F.count(F.lit(1)).over(_ALL)
+    n = F.count(F.lit(1)).over(_all())
     times = F.lit(iterations) if iterations is not None else best_iterations(n)
-    mirrored = 2 * F.avg(amplitude).over(_ALL) - F.col(amplitude)
+    mirrored = 2 * F.avg(amplitude).over(_all()) - F.col(amplitude)
     return df.withColumn(amplitude, F.when((n > 1) & (times % 2 == 1), mirrored).otherwise(F.col(amplitude)))
 
 
@@ -54,7 +56,7 @@ def reflection_rerank(df: DataFrame, top_k: int = 10, iterations: int | None = N
     Only the ``window`` rows of highest score take part.  Of the reflected rows the first ``max(top_k, ceil(sqrt(rows)))`` survive; ``scorer``
     then scores them by their text.
     """
-    kept = ranked(df.drop("place"), window).withColumn("rows", F.count(F.lit(1)).over(_ALL))
+    kept = ranked(df.drop("place"), window).withColumn("rows", F.count(F.lit(1)).over(_all()))
     turned = reflect(amplitude_encode(kept), iterations).drop("score", "place").withColumnRenamed("amplitude", "score")
     w = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "doc_id")
     alive = turned.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= F.greatest(F.lit(top_k), F.ceil(F.sqrt("rows")))).drop("rows")

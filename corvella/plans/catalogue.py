@@ -369,7 +369,7 @@ def ingest_totals(spark, d):
 
 @query()
 def html_extract(spark, d):
-    return _docs(spark, d).where("contains(text, '<')").select("doc_id", files.html_to_text("text").alias("text"))
+    return _docs(spark, d).where("contains(text, '<')").select("doc_id", files.html_to_text(F.col("text")).alias("text"))
 
 
 _EXT = "lower(regexp_extract(file_path, '[^/.](\\.[^./\\\\]+)$', 1))"
@@ -392,7 +392,7 @@ def file_digest(spark, d):
 
 
 @query(f"""WITH {_TERMS}, b AS (SELECT doc_id, (('0x' || substr(md5(term), 1, 8))::BIGINT % 64)::BIGINT AS bucket, sum(tf) AS c FROM post GROUP BY 1, 2)
-SELECT doc_id, bucket, round(c / sqrt(sum(c * c) OVER (PARTITION BY doc_id)), 5) AS weight FROM b""")
+SELECT doc_id, bucket, round((c / sqrt(sum(c * c) OVER (PARTITION BY doc_id)))::FLOAT::DOUBLE, 5) AS weight FROM b""")
 def hash_embed(spark, d):
     v = _docs(spark, d).select("doc_id", embed.hash_embedding(F.col("text"), 64).alias("v"))
     return v.select("doc_id", F.posexplode("v").alias("bucket", "weight")).where("weight > 0").select("doc_id", F.col("bucket").cast("long").alias("bucket"), F.round(F.col("weight").cast("double"), 5).alias("weight"))

@@ -10,7 +10,7 @@ from xml.etree import ElementTree
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,9 +56,12 @@ def docx_text(data: bytes) -> str:
     return "\n\n".join(p for p in paragraphs if p.strip())
 
 
-@F.pandas_udf(T.StringType())
-def html_to_text(pages: pd.Series) -> pd.Series:
-    return pages.map(lambda s: None if s is None else html_text(s))
+def html_to_text(page: Column) -> Column:
+    @F.pandas_udf(T.StringType())
+    def run(pages: pd.Series) -> pd.Series:
+        return pages.map(lambda s: None if s is None else html_text(s))
+
+    return run(page)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
