@@ -15,7 +15,7 @@ from corvella.functions.chunking import cut_points
 PIECES = (
     "piece_index bigint, char_start bigint, char_end bigint, text string, metadata string"
 )
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(r"\d*[^\W\d_][^\W_]*")
 _END = re.compile(r"\n\s*\n|\n|[.!?…]['\"”»)\]]*\s")
 
 

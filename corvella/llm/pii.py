@@ -34,7 +34,7 @@ PHONE = re.compile(
     r"|\+\d{1,3}(?:[ ./-]?\(?\d{1,9}\)?){2,6}"
     r"|020[ ]?\d{4}[ ]?\d{4}|0[12378]\d{2,3}[ ]\d{3}[ ]?\d{3,4}"
     r"|0[1-9](?:([ .-]?)\d{2})(?:\2\d{2}){3}"
-    r"|\(0\d{1,4}\)[ ./-]?\d{3,9}(?:[ -]\d{1,6})?|0\d{2,4}[ /-]\d{3,8}(?:[ -]\d{1,5}){0,2}"
+    r"|\(0\d{1,4}\)[ ./-]?\d{3,9}(?:[ -]\d{1,6})?|(?!0\d{2} \d{3} \d{3}(?!\d))0\d{2,4}[ /-]\d{3,8}(?:[ -]\d{1,5}){0,2}"
     r"|[5-9]\d{2}(?: \d{2}){3}"
     r")(?![\w]|[.-]\d)"
 )
@@ -376,6 +376,19 @@ def surrogates(items: DataFrame, key: bytes, rounds: int = 12) -> DataFrame:
     return drawn.withColumn("place", place).select("kind", "item", F.when(F.col("place") == 1, F.col("stand_in")).otherwise(F.concat("stand_in", F.lit("-"), F.sha2("item", 256))).alias("stand_in"))
 
 
+def dressed(kind: str, stand_in: str, original: str) -> str:
+    """The stand-in in the writing of one mention: its punctuation, its case, and the order of a name."""
+    if kind in ("phone", "id_number"):
+        new = iter(stand_in)
+        if sum(c.isalnum() for c in original) == len(stand_in):
+            return "".join(next(new) if c.isalnum() else c for c in original)
+        return stand_in
+    if kind == "name" and "," in original:
+        given, family = stand_in.split(" ", 1)
+        stand_in = f"{family}, {given}"
+    return stand_in.upper() if kind != "email" and original.isupper() else stand_in
+
+
 def redacted(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text", metadata_col: str = "metadata_json") -> DataFrame:
     """``docs`` with each item in both fields replaced by ``[KIND:stand-in]``, all else unchanged.
 
@@ -387,7 +400,7 @@ def redacted(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str
     marks = (
         items.join(table, ["kind", "item"])
         .groupBy("doc_id")
-        .agg(F.collect_list(F.struct("field", "start_pos", "end_pos", F.concat(F.lit("["), F.upper("kind"), F.lit(":"), F.col("stand_in"), F.lit("]")).alias("mark"))).alias("_marks"))
+        .agg(F.collect_list(F.struct("field", "start_pos", "end_pos", "kind", "stand_in")).alias("_marks"))
     )
     joined = docs.join(marks.withColumnRenamed("doc_id", "_marked"), docs[id_col].cast("long") == F.col("_marked"), "left")
 
@@ -403,7 +416,8 @@ def redacted(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str
                     if m and values[n]:
                         v = values[n]
                         for x in sorted((x for x in m if x["field"] == f), key=lambda x: -x["start_pos"]):
-                            v = v[: x["start_pos"]] + x["mark"] + v[x["end_pos"] :]
+                            a, z = x["start_pos"], x["end_pos"]
+                            v = f"{v[:a]}[{x['kind'].upper()}:{dressed(x['kind'], x['stand_in'], v[a:z])}]{v[z:]}"
                         values[n] = v
                 cols[i] = pa.array(values, pa.string())
             keep = [i for i, c in enumerate(names) if c != "_marks"]

@@ -83,5 +83,30 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
 
 
+_PLAIN = "regexp_extract_all(strip_accents(replace(lower(regexp_replace(text, '[\\x{00AD}\\x{200B}]', '', 'g')), 'ß', 'ss')), '[\\p{L}\\p{N}]+')"
+
+SQL = {
+    "p1_found": r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+s AS (SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 2 * c >= x.n + y.n - c),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT a AS x, b AS y FROM e UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a)
+SELECT DISTINCT x AS doc_a, y AS doc_b FROM r WHERE x < y""",
+    "p5_found": """WITH v AS (SELECT doc_id, embedding::DOUBLE[] AS e FROM documents WHERE len(embedding) = 64), u AS (SELECT * FROM v WHERE list_inner_product(e, e) > 0),
+t AS (SELECT a.doc_id AS x, b.doc_id AS y, list_cosine_similarity(a.e, b.e) AS s FROM u a JOIN u b ON a.doc_id <> b.doc_id),
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY s DESC, y) AS p FROM t) WHERE p <= 5 AND s >= 0.8)
+SELECT DISTINCT least(x, y) AS doc_a, greatest(x, y) AS doc_b FROM k""",
+    "p6_found": f"""WITH i AS (SELECT item_id, {_PLAIN} AS w FROM eval_items), n AS (SELECT item_id, w, least(13, len(w)) AS n FROM i WHERE len(w) > 0),
+g AS (SELECT item_id, n, array_to_string(w[k:k + n - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS k FROM n)),
+d AS (SELECT doc_id, {_PLAIN} AS w FROM documents WHERE text IS NOT NULL), m AS (SELECT DISTINCT n FROM n),
+h AS (SELECT doc_id, n, array_to_string(w[k:k + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, m))
+SELECT DISTINCT doc_id, item_id FROM h JOIN g USING (n, g)""",
+    "p7_found": """WITH t AS (SELECT source, sum(length(text)) AS c FROM documents GROUP BY source)
+SELECT m.source FROM mix_targets m LEFT JOIN t USING (source) WHERE coalesce(c, 0) * max_repeats < target_share * (SELECT sum(c) FROM t)""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
