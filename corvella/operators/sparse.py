@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corvella.functions.text import tokens
 from corvella.operators.dense import ranked
+from corvella.session import staged
 
 #: The usual constants of the ranking function.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -42,11 +43,17 @@ def floored(terms: DataFrame) -> DataFrame:
     return terms.join(F.broadcast(mean)).select("term", "df", F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
 
 
+def vocabulary(docs: DataFrame) -> DataFrame:
+    """``(term, df, words)`` in one pass: of the null term, ``df`` is the number of documents and ``words`` that of all words."""
+    t = doc_terms(docs).select("dl", F.explode(F.array_append(F.array_distinct("terms"), F.lit(None).cast("string"))).alias("term"))
+    return t.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("words"))
+
+
 def bm25_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """``(qid, doc_id, score)`` of every document with a term of query ``(qid, text)``.
 
-    A query's repeated words count repeatedly.  Statistics are those of all ``docs``; documents are filtered to the queries' terms before
-    they are counted, so only matching words are shuffled.  Null texts are documents without words; an empty collection or
+    A query's repeated words count repeatedly.  Statistics are those of all ``docs``, counted in one pass and written to the shared folder;
+    in the second pass words are filtered to the queries' terms before they are counted, so only matching words are shuffled.  Null texts are documents without words; an empty collection or
     query has no scores.
     """
     asked = queries.select("qid", F.explode(tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("times"))
@@ -58,10 +65,14 @@ def bm25_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
         .groupBy("doc_id", "term")
         .agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
     )
-    weights = floored(term_stats(docs)).join(wanted, "term", "left_semi")
+    words = staged(vocabulary(docs), "vocabulary")
+    corpus = words.where("term is null").select(F.col("df").alias("n"), (F.col("words") / F.col("df")).alias("avgdl"))
+    idf = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    terms = words.where("term is not null").select("term", "df").join(F.broadcast(corpus)).select("term", "df", idf.alias("idf"))
+    weights = floored(terms).join(wanted, "term", "left_semi")
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return (
-        tf.join(F.broadcast(corpus_stats(docs).select("avgdl")))
+        tf.join(F.broadcast(corpus.select("avgdl")))
         .join(weights.select("term", "idf"), "term")
         .join(asked, "term")
         .groupBy("qid", "doc_id")
