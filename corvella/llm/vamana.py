@@ -203,8 +203,8 @@ def similar_vectors(
     dim: int = 64,
     k: int = 5,
     query_every: int = 1,
-    probes: int | None = 4,
-    shard_size: int = 12_288,
+    probes: int | None = 6,
+    shard_size: int = 3_072,
     degree: int = 24,
     beam: int = 32,
     sample_per_cell: int = 64,
