@@ -40,7 +40,7 @@ def p3_valleys(spark, d):
 
 
 def p5_found(spark, d):
-    return vamana.similar_pairs(vamana.similar_vectors(_read(spark, d, "documents"), probes=6))
+    return vamana.similar_pairs(vamana.similar_vectors(_read(spark, d, "documents"), probes=5))
 
 
 def p5_neighbours(spark, d):

@@ -203,11 +203,12 @@ def similar_vectors(
     dim: int = 64,
     k: int = 5,
     query_every: int = 1,
-    probes: int | None = 6,
+    probes: int | None = 5,
     shard_size: int = 3_072,
     degree: int = 24,
     beam: int = 32,
     sample_per_cell: int = 64,
+    most_sampled: int = 65_536,
 ) -> DataFrame:
     """``(id, neighbour, similarity)``: the ``k`` other rows of highest cosine found for each query.
 
@@ -215,7 +216,8 @@ def similar_vectors(
     length, all zero or not finite take no part, nor do null ids; an id must be unique.  Rows with the same vector form one class
     that enters the index once; a row's neighbours come from its own class first and of each class in the order of ids.
 
-    Centres of about ``shard_size`` vectors each are fitted on a sample of ``sample_per_cell`` rows a centre; every vector is
+    Centres of about ``shard_size`` vectors each are fitted on a sample, by a hash of the ids, of ``sample_per_cell`` rows a centre and
+    ``most_sampled`` rows in all (so there are no more centres than those); every vector is
     indexed in the shard of its nearest centre, and the beam search of a query runs in the ``probes`` nearest shards,
     or in each shard if that is None or there are no more.
     """
@@ -235,9 +237,13 @@ def similar_vectors(
     else:
         reps = reps.select("id", "vec", asks.alias("asks"))
     cells = -(-n // shard_size)
-    some = reps.select("vec").orderBy(F.xxhash64("id")).limit(cells * sample_per_cell).collect() if cells > 1 else []
+    wanted = min(cells * sample_per_cell, most_sampled)
+    luck = F.shiftrightunsigned(F.xxhash64("id", F.lit(11)), 11) / F.lit(float(2**53))
+    some = reps.where(luck < wanted / n).select("vec").limit(2 * wanted).collect() if cells > 1 else []
     sample = np.frombuffer(b"".join(r.vec for r in some), np.float32).reshape(-1, dim)
-    centres = spark.sparkContext.broadcast(_centres(sample, cells) if cells > 1 else np.zeros((1, dim), np.float32))
+    fitted = _centres(sample, cells) if len(sample) else np.zeros((1, dim), np.float32)
+    cells = len(fitted)
+    centres = spark.sparkContext.broadcast(fitted)
     near = cells if probes is None else min(probes, cells)
 
     def route(batches):
