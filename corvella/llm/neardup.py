@@ -178,6 +178,13 @@ def verified(pairs: DataFrame, prints: DataFrame, threshold: float, checks: int
     )
 
 
+def linked(prints: DataFrame, threshold: float, bands: int, rows: int) -> DataFrame:
+    """Verified links ``(a, b)`` of the nodes of ``(node, prints)``, written to the shared folder."""
+    n = prints.count()
+    parts = max(4 * int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n * bands // 2_000_000))
+    return staged(verified(candidate_links(prints, bands, rows, parts), prints, threshold), "links")
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -197,9 +204,7 @@ def near_duplicates(
     rows with the same id and text count once; an empty table gives no rows; other columns are ignored.
     """
     prints = staged(_fingerprints(docs, id_col, text_col, width), "prints")
-    n = prints.count()
-    parts = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n * bands // 2_000_000))
-    links = staged(verified(candidate_links(prints, bands, rows, parts), prints, threshold), "links")
+    links = linked(prints, threshold, bands, rows)
     parents = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
     rooted = staged(

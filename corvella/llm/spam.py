@@ -10,6 +10,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvella.llm.graphs import components
+from corvella.llm.neardup import linked
+from corvella.session import staged
+
 _TOKEN = re.compile(
     r"(?:https?://|www\.)\S+|[\w-]+(?:\.[\w-]+)+/\S*|\]\([^)\s]*\)|</?[a-z][^<>]*>|[^\W\d_]+|\d+"
 )
@@ -17,6 +21,8 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Stands for any link: a pair with it is no collocation.
 _LINK = 1
 _NUMBER = 2
+#: Times the rate of a pair in other documents at which its recurrence is excessive: from five occurrences, and below. Prose of template sentences stays below both.
+_OFTEN, _SELDOM = 30, 300
 
 
 def _ids(text: str, seen: dict) -> np.ndarray:
@@ -71,20 +77,45 @@ def _join(column) -> bytes:
     return b"".join(column.to_pylist())
 
 
-def _common(docs: DataFrame, least: float, parts: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Sorted ids and the counts of all words and pairs that occur ``least`` times or more, and the number of words."""
+def _worded(docs: DataFrame) -> DataFrame:
+    """``(row, doc_id, words, counted)``: the packed ids of each text's words; one text of each class of copies is counted.
 
-    def local(batches):
+    Texts are near-copies where the Jaccard similarity of their sets of word pairs is 0.7 or more, directly or through others.
+    """
+
+    def run(batches):
         seen: dict = {}
         for b in batches:
-            ids = [_ids(t, seen) for t in b.column(0).to_pylist() if t]
-            n = sum(map(len, ids))
-            if not n:
+            words, nodes, prints = [], [], []
+            for t in b.column(2).to_pylist():
+                x = _ids(t, seen)
+                words.append(x.tobytes())
+                nodes.append(xxhash.xxh64_intdigest(words[-1]) >> 1)
+                prints.append(np.unique((_pairs(x) >> np.uint64(32)).astype(np.uint32)).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(words, pa.binary()), pa.array(nodes, pa.int64()), pa.array(prints, pa.binary())], names=["row", "doc_id", "words", "node", "prints"])
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    rows = staged(rows.mapInArrow(run, "row bigint, doc_id bigint, words binary, node bigint, prints binary"), "words")
+    parents = components(linked(rows.where("length(prints) > 0").select("node", "prints"), 0.7, 16, 4))
+    firsts = rows.groupBy("node").agg(F.min("row").alias("row")).join(parents, "node", "left").where("component is null or component = node")
+    counted = rows.select("row", "doc_id", "words").join(firsts.select("row", F.lit(True).alias("counted")), "row", "left")
+    return staged(counted.select("doc_id", "words", F.coalesce("counted", F.lit(False)).alias("counted")), "counted")
+
+
+def _common(rows: DataFrame, least: float, parts: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Sorted ids of all words and pairs that occur ``least`` times or more, their counts in the counted texts, and the words of those."""
+
+    def local(batches):
+        for b in batches:
+            ids = [np.frombuffer(w, np.uint64) for w in b.column(1).to_pylist()]
+            one = np.repeat(np.asarray(b.column(2).to_pylist(), bool), [max(0, 2 * len(x) - 1) for x in ids])
+            n = sum(len(x) for x, c in zip(ids, b.column(2).to_pylist()) if c)
+            if not len(one):
                 continue
-            keys = np.concatenate([_pairs(x) for x in ids if len(x) > 1] + [_words(np.concatenate(ids))])
-            k, c = _counted(keys, np.ones(len(keys), np.int64))
+            keys = np.concatenate([k for x in ids for k in (_pairs(x), _words(x))])
+            k, c = _counted(keys, (one.astype(np.int64) << 32) + 1)
             order, cut = _split(k, parts)
-            k, c = k[order], c[order].astype(np.uint32)
+            k, c = k[order], c[order]
             full = [i for i in range(parts) if cut[i] < cut[i + 1]]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -98,8 +129,10 @@ def _common(docs: DataFrame, least: float, parts: int) -> tuple[np.ndarray, np.n
 
     def whole(group):
         keys = np.frombuffer(_join(group.column("ids")), np.uint64)
-        k, c = _counted(keys, np.frombuffer(_join(group.column("counts")), np.uint32).astype(np.int64))
+        both = np.frombuffer(_join(group.column("counts")), np.uint64)
+        k, c = _counted(keys, (both & np.uint64(0xFFFFFFFF)).astype(np.int64))
         keep = c >= least
+        c = _counted(keys, (both >> np.uint64(32)).astype(np.int64))[1]
         return pa.table(
             {
                 "words": pa.array([sum(group.column("words").to_pylist())], pa.int64()),
@@ -108,24 +141,23 @@ def _common(docs: DataFrame, least: float, parts: int) -> tuple[np.ndarray, np.n
             }
         )
 
-    rows = (
-        docs.select("text")
-        .mapInArrow(local, "part int, words bigint, ids binary, counts binary")
+    got = (
+        rows.mapInArrow(local, "part int, words bigint, ids binary, counts binary")
         .groupBy("part")
         .applyInArrow(whole, "words bigint, ids binary, counts binary")
         .collect()
     )
-    ids = np.frombuffer(b"".join(r.ids for r in rows), np.uint64)
+    ids = np.frombuffer(b"".join(r.ids for r in got), np.uint64)
     order = np.argsort(ids)
-    return ids[order], np.frombuffer(b"".join(r.counts for r in rows), np.int64)[order], sum(r.words for r in rows)
+    return ids[order], np.frombuffer(b"".join(r.counts for r in got), np.int64)[order], sum(r.words for r in got)
 
 
 def _found(ids: np.ndarray, counts: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Counts of the keys, 0 for those that are not among ids."""
+    """Counts of the keys, -1 for those that are not among ids."""
     if not len(ids):
-        return np.zeros(len(keys), np.int64)
+        return np.full(len(keys), -1, np.int64)
     at = np.minimum(np.searchsorted(ids, keys), len(ids) - 1)
-    return np.where(ids[at] == keys, counts[at], 0)
+    return np.where(ids[at] == keys, counts[at], -1)
 
 
 def _gain(tf: np.ndarray, count: np.ndarray, base: np.ndarray, log_n: float) -> np.ndarray:
@@ -135,8 +167,13 @@ def _gain(tf: np.ndarray, count: np.ndarray, base: np.ndarray, log_n: float) ->
     return tf * np.clip(pmi, 0, 1) * (other > 0)
 
 
-def _excess(tf: np.ndarray, count: np.ndarray) -> np.ndarray:
-    return tf * ((tf >= 3) & (tf >= 0.05 * count))
+def _limit(tf: np.ndarray, pairs: np.ndarray, total: int) -> np.ndarray:
+    """The most occurrences in other documents at which a pair's recurrence in its own is still excessive."""
+    return np.minimum(tf * np.maximum(total - pairs, 1) // (np.where(tf >= 5, _OFTEN, _SELDOM) * pairs), 2**32 - 1)
+
+
+def _excess(tf: np.ndarray, count: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    return tf * ((tf >= 3) & ((tf >= 0.05 * count) | (count - tf <= limit)))
 
 
 def collocation_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = 2.0**-18) -> DataFrame:
@@ -145,9 +182,10 @@ def collocation_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ``mean_pmi`` is the mean over neighbouring words of their pointwise mutual information, counted in all other
     documents, discounted by ``c / (c + 1)`` for ``c`` occurrences and held within 0 and 1; a pair that
     no other document has, or with a link in it, is 0.  ``repeated`` is the share of pairs that recur at least three times
-    and make a twentieth of all occurrences of that pair in the corpus.
+    and are 300 times as frequent in the document as in the others (30 times from five occurrences), or make a twentieth of all occurrences of that pair.
 
-    Counts cover all documents.  Words and pairs above ``share`` of the corpus (at most ``12 / share`` by the definition of
+    Counts cover one text of each class of copies and near-copies (word pairs of Jaccard similarity 0.7, also through others), and every
+    document is scored against them.  Words and pairs above ``share`` of the corpus (at most ``12 / share`` by the definition of
     the bound in characters) are counted first and broadcast; rarer words weigh as ``share``; rarer pairs meet
     in parts by their hash, each document's once, so no pair is hot.  Null and empty texts have no row, repeated rows
     of an id are scored one by one, other columns are ignored.  The input must be stable when read again.
@@ -157,17 +195,17 @@ def collocation_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     least = max(2.0, share * chars / 6)
     parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), chars // 4_000_000)
-    ids, counts, total = _common(docs, least, parts)
+    rows = _worded(docs)
+    ids, counts, total = _common(rows, least, parts)
     known = spark.sparkContext.broadcast((ids, counts))
     log_n = np.log(max(total, 1))
 
     def local(batches):
-        seen: dict = {}
         ids, counts = known.value
         for b in batches:
             keys, bases, pair_counts = [], [], []
-            for t in b.column(1).to_pylist():
-                x = _ids(t, seen)
+            for w in b.column(1).to_pylist():
+                x = np.frombuffer(w, np.uint64)
                 p = np.log(np.maximum(_found(ids, counts, _words(x)), least)) - log_n
                 linked = x == _LINK
                 k = _pairs(x)
@@ -188,13 +226,16 @@ def collocation_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             tf = np.diff(np.append(at, len(key)))
             doc, key, base = doc[at], key[at], base[at]
             count = _found(ids, counts, key)
-            hot = count > 0
+            hot = count >= 0
             n = len(sizes)
+            limit = _limit(tf, sizes[doc], total)
             gain = np.bincount(doc[hot], _gain(tf[hot], count[hot], base[hot], log_n), n).astype(np.float32)
-            over = np.bincount(doc[hot], _excess(tf[hot], count[hot]), n).astype(np.uint32)
-            doc, key, base, tf = doc[~hot], key[~hot], base[~hot], tf[~hot]
+            over = np.bincount(doc[hot], _excess(tf[hot], count[hot], limit[hot]), n).astype(np.uint32)
+            doc, key, base, tf, limit = doc[~hot], key[~hot], base[~hot], tf[~hot], limit[~hot] * (tf[~hot] >= 3)
+            counted = np.asarray(b.column(2).to_pylist(), np.uint32) << np.uint32(31)
             order, cut = _split(key, parts)
             doc, key, base, tf = doc[order], key[order], base[order].astype(np.float16), tf[order].astype(np.uint32)
+            limit = limit[order].astype(np.uint32)
             six = np.ascontiguousarray(key).view(np.uint8).reshape(-1, 8)[:, :6]
             doc_ids = np.asarray(b.column(0)).astype(np.int64)
             batch = xxhash.xxh64_intdigest(doc_ids.tobytes()) >> 1
@@ -206,12 +247,13 @@ def collocation_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     pa.array([home, *full], pa.int32()),
                     pa.array([batch] * (1 + len(full)), pa.int64()),
                     pa.array([doc_ids.tobytes()] + [None] * len(full), pa.binary()),
-                    pa.array([sizes.astype(np.int64).tobytes(), *(np.bincount(doc[s], minlength=n).astype(np.uint32).tobytes() for s in span)], pa.binary()),
+                    pa.array([sizes.astype(np.int64).tobytes(), *((np.bincount(doc[s], minlength=n).astype(np.uint32) | counted).tobytes() for s in span)], pa.binary()),
                     pa.array([gain.tobytes(), *(six[s].tobytes() for s in span)], pa.binary()),
                     pa.array([over.tobytes(), *(tf[s].tobytes() for s in span)], pa.binary()),
                     pa.array([None, *(base[s].tobytes() for s in span)], pa.binary()),
+                    pa.array([None, *(limit[s].tobytes() for s in span)], pa.binary()),
                 ],
-                names=["part", "batch", "ids", "sizes", "x", "y", "z"],
+                names=["part", "batch", "ids", "sizes", "x", "y", "z", "most"],
             )
 
     def meet(group):
@@ -225,12 +267,15 @@ def collocation_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             key = key.view(np.uint64).ravel()
             tf = np.frombuffer(b"".join(r["y"] for r in cold), np.uint32).astype(np.int64)
             base = np.frombuffer(b"".join(r["z"] for r in cold), np.float16).astype(np.float64)
-            k, c = _counted(key, tf)
+            limit = np.frombuffer(b"".join(r["most"] for r in cold), np.uint32).astype(np.int64)
+            heads = [np.frombuffer(r["sizes"], np.uint32) for r in cold]
+            pers = [h & np.uint32(2**31 - 1) for h in heads]
+            counted = np.concatenate([np.repeat(h >> np.uint32(31), p) for h, p in zip(heads, pers)])
+            k, c = _counted(key, tf * counted)
             count = c[np.searchsorted(k, key)]
-            gain, over = _gain(tf, count, base, log_n), _excess(tf, count)
+            gain, over = _gain(tf, count, base, log_n), _excess(tf, count, limit)
             at = 0
-            for r in cold:
-                per = np.frombuffer(r["sizes"], np.uint32)
+            for r, per in zip(cold, pers):
                 m = int(per.sum())
                 doc = np.repeat(np.arange(len(per)), per)
                 out.append([r["batch"], None, None, np.bincount(doc, gain[at : at + m], len(per)).astype(np.float32).tobytes(), np.bincount(doc, over[at : at + m], len(per)).astype(np.uint32).tobytes()])
@@ -250,9 +295,9 @@ def collocation_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         col = lambda v: np.tile(v, len(heads))[keep]
         return pa.table({"doc_id": col(ids), "pairs": col(sizes), "mean_pmi": col(gain / per), "repeated": col(over / per)})
 
-    packed = "part int, batch bigint, ids binary, sizes binary, x binary, y binary, z binary"
+    packed = "part int, batch bigint, ids binary, sizes binary, x binary, y binary, z binary, most binary"
     return (
-        docs.mapInArrow(local, packed)
+        rows.mapInArrow(local, packed)
         .groupBy("part")
         .applyInArrow(meet, "batch bigint, ids binary, sizes binary, gain binary, over binary")
         .groupBy("batch")
@@ -278,8 +323,6 @@ def spam_pages(
     more than ``repeats`` are excessively repeated collocations, which finds spam that stands in the corpus several times.
     Texts of fewer than ``least_pairs`` word pairs are neither.
     """
-    from corvella.session import staged
-
     scores = staged(collocation_scores(docs, id_col, text_col), "scores")
     half, low = scores.where(F.col("pairs") >= least_pairs).agg(F.percentile_approx("mean_pmi", F.array(F.lit(0.5), F.lit(0.25)), 10_000)).first()[0] or (0.0, 0.0)
     bound = min(max(half - spread * (half - low), floor), ceiling)

@@ -281,3 +281,22 @@ def test_spam_pages(spark):
     rows += [(2000 + i, " ".join(f"https://{rnd.choice(nouns)}.example/{k} {rnd.choice(nouns)}" for k in range(20))) for i in range(4)]
     got = {r.doc_id for r in spam.spam_pages(texts(spark, rows)).where("spam").collect()}
     assert got == {i for i, _ in rows if i >= 1000}
+
+
+def test_spam_in_copies_and_of_shared_phrases(spark):
+    rnd = random.Random(6)
+    nouns = [f"noun{chr(97 + i)}{chr(97 + j)}" for i in range(12) for j in range(12)]
+    line = lambda: f"the {rnd.choice(nouns)} of the office was sent to the {rnd.choice(nouns)} before the end of the day"
+    rows = [(i, ". ".join(line() for _ in range(6))) for i in range(3000)]
+    page = [w for _ in range(12) for w in ("tag", "shoe", "sale", "deal", "bag")]
+    for i in range(40):
+        w = list(page)
+        w[rnd.randrange(len(w))] = rnd.choice(nouns)
+        rows.append((10_000 + i, " ".join(w if i % 2 else page)))
+    for i in range(40):  # salad in copies: each pair is nowhere else
+        rows.append((20_000 + i, " ".join(random.Random(7).choices([f"q{a}{b}" for a in "abcdef" for b in "uvwxyz"], k=60))))
+    phrases = [rnd.sample(["cup", "mug", "jar", "pan", "pot", "lid"], 2) for _ in range(6)]
+    for i in range(60):
+        rows.append((30_000 + i, " ".join(f"{a} {b} {rnd.choice(nouns)}" for a, b in rnd.sample(phrases, 3) * 10)))
+    got = {r.doc_id for r in spam.spam_pages(texts(spark, rows)).where("spam").collect()}
+    assert got == {i for i, _ in rows if i >= 10_000}
