@@ -82,19 +82,18 @@ def _salted(node: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 
 def _star(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each bucket its first node by the bucket's own order, and links of all others to it."""
+    """Of each bucket its first node by the bucket's own order, and ``(bucket, first, other)`` of all others."""
     order = np.lexsort((_salted(node, key), key))
     k, v = key[order], node[order]
     first = np.ones(len(k), bool)
     first[1:] = k[1:] != k[:-1]
     centre = v[first][np.cumsum(first) - 1]
     rest = v != centre
-    links = np.stack([np.minimum(v, centre)[rest], np.maximum(v, centre)[rest]], axis=1)
-    return k[first], v[first], np.unique(links, axis=0) if len(links) else links
+    return k[first], v[first], np.stack([k.astype(np.int64)[rest], centre[rest], v[rest]], axis=1)
 
 
 def candidate_links(prints: DataFrame, bands: int, rows: int, parts: int) -> DataFrame:
-    """Pairs ``(a, b)`` of nodes that share a band of ``rows`` minima, as stars.
+    """``(key, a, b)`` of nodes that share the bucket ``key`` of a band of ``rows`` minima, as stars.
 
     Every bucket links its nodes to one of them, picked by an order of its own: first in each batch, which
     passes on one node a bucket, then over all batches.  So a bucket of any size is linear, no task holds
@@ -116,7 +115,7 @@ def candidate_links(prints: DataFrame, bands: int, rows: int, parts: int) -> Dat
             key += np.arange(bands, dtype=np.uint64) * np.uint64(_MIX[2])
             k, v, links = _star(key.ravel(), np.repeat(node, bands))
             both = np.stack([k, v.astype(np.uint64)], axis=1)
-            p, q = (k % np.uint64(parts)).astype(np.int64), links[:, 0] % parts
+            p, q = (k % np.uint64(parts)).astype(np.int64), links[:, 2] % parts
             by, lby = np.argsort(p, kind="stable"), np.argsort(q, kind="stable")
             both, links = both[by], links[lby]
             cut, lcut = np.searchsorted(p[by], np.arange(parts + 1)), np.searchsorted(q[lby], np.arange(parts + 1))
@@ -132,12 +131,12 @@ def candidate_links(prints: DataFrame, bands: int, rows: int, parts: int) -> Dat
 
     def whole(group):
         both = np.frombuffer(b"".join(group.column("entries").to_pylist()), np.uint64).reshape(-1, 2)
-        known = np.frombuffer(b"".join(group.column("links").to_pylist()), np.int64).reshape(-1, 2)
+        known = np.frombuffer(b"".join(group.column("links").to_pylist()), np.int64).reshape(-1, 3)
         links = np.concatenate([known, _star(both[:, 0], both[:, 1].astype(np.int64))[2]])
-        return pa.table({"a": pa.array(links[:, 0], pa.int64()), "b": pa.array(links[:, 1], pa.int64())})
+        return pa.table({n: pa.array(links[:, i], pa.int64()) for i, n in enumerate(("key", "a", "b"))})
 
     rows_of = prints.select("node", "prints").mapInArrow(local, "part int, entries binary, links binary")
-    return rows_of.groupBy("part").applyInArrow(whole, "a bigint, b bigint").distinct()
+    return rows_of.groupBy("part").applyInArrow(whole, "key bigint, a bigint, b bigint")
 
 
 def verified(pairs: DataFrame, prints: DataFrame, threshold: float, checks: int = 128) -> DataFrame:
@@ -178,11 +177,100 @@ def verified(pairs: DataFrame, prints: DataFrame, threshold: float, checks: int
     )
 
 
-def linked(prints: DataFrame, threshold: float, bands: int, rows: int) -> DataFrame:
-    """Verified links ``(a, b)`` of the nodes of ``(node, prints)``, written to the shared folder."""
+def _shared(x: list[np.ndarray], y: list[np.ndarray], width: int = 8192) -> np.ndarray:
+    """How many fingerprints each of ``x`` has in common with each of ``y``, by products of blocks of ``width`` fingerprints."""
+    flat = [np.concatenate(v) for v in (x, y)]
+    doc = [np.repeat(np.arange(len(v)), [len(p) for p in v]) for v in (x, y)]
+    both = np.intersect1d(*flat)
+    at = [np.searchsorted(both, f) for f in flat]
+    real = [np.append(both, 0)[k] == f if len(both) else np.zeros(len(f), bool) for k, f in zip(at, flat)]
+    at, doc = [k[r] for k, r in zip(at, real)], [d[r] for d, r in zip(doc, real)]
+    out = np.zeros((len(x), len(y)), np.float64)
+    for low in range(0, len(both), width):
+        m = [np.zeros((len(v), min(width, len(both) - low)), np.float32) for v in (x, y)]
+        for a, k, d in zip(m, at, doc):
+            here = (k >= low) & (k < low + width)
+            a[d[here], k[here] - low] = 1
+        out += m[0] @ m[1].T
+    return out
+
+
+def blocked_links(members: DataFrame, prints: DataFrame, threshold: float, block: int = 512, counts: bool = False) -> DataFrame:
+    """Every pair within a bucket of ``(key, node, comp, main)`` compared by fingerprints, in blocks of ``block`` nodes a side.
+
+    Gives the links ``(a, b)`` between different ``comp``; nodes with ``main`` are known to be of one and are not compared with each other.
+    With ``counts`` it gives ``(a, b)`` of each node ``a`` and how many others of its bucket are at the threshold, in parts to be added.
+    """
+
+    def run(group):
+        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        own, node, comp = (np.asarray(group.column(c)) for c in ("own", "node", "comp"))
+        sets = [np.frombuffer(p, np.uint32) for p in group.column("prints").to_pylist()]
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        if not len(left) or not len(right):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        x, y = [sets[k] for k in left], [sets[k] for k in right]
+        same = _shared(x, y)
+        size = [np.array([len(p) for p in v], np.float64) for v in (x, y)]
+        hit = same >= threshold * (size[0][:, None] + size[1][None, :] - same)
+        if counts:
+            hit &= node[left][:, None] != node[right][None, :]
+            a, b = node[left], hit.sum(axis=1)
+            if i != j:
+                a, b = np.append(a, node[right]), np.append(b, hit.sum(axis=0))
+        else:
+            p, q = np.nonzero(hit & (comp[left][:, None] != comp[right][None, :]))
+            a, b = node[left][p], node[right][q]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    sizes = members.groupBy("key").agg(*(F.ceil(F.count_if(c) / block).cast("int").alias(n) for n, c in (("rest", ~F.col("main")), ("mains", F.col("main")))))
+    own = F.when(F.col("main"), F.col("rest") + F.pmod(F.xxhash64("node"), F.greatest("mains", F.lit(1))).cast("int")).otherwise(F.pmod(F.xxhash64("node"), F.greatest("rest", F.lit(1))).cast("int"))
+    m = members.join(sizes, "key").where("rest > 0").withColumn("own", own)
+    first = F.when(F.col("main"), F.array().cast("array<int>")).otherwise(F.sequence("own", F.col("rest") + F.col("mains") - 1))
+    second = F.when(F.col("main"), F.sequence(F.lit(0), F.col("rest") - 1)).when(F.col("own") > 0, F.sequence(F.lit(0), F.col("own") - 1)).otherwise(F.array().cast("array<int>"))
+    spots = F.concat(F.transform(first, lambda j: F.struct(F.col("own").alias("i"), j.alias("j"))), F.transform(second, lambda i: F.struct(i.alias("i"), F.col("own").alias("j"))))
+    sets = prints.groupBy("node").agg(F.first("prints").alias("prints"))
+    placed = m.select("key", "node", "comp", "own", F.explode(spots).alias("at")).join(sets, "node")
+    return placed.select("key", "at.i", "at.j", "own", "node", "comp", "prints").groupBy("key", "i", "j").applyInArrow(run, "a bigint, b bigint")
+
+
+def classes(prints: DataFrame, threshold: float, bands: int, rows: int) -> DataFrame:
+    """``(node, component)`` of the nodes of ``(node, prints)`` that are linked, directly or through others.
+
+    The stars of the buckets link most; of each bucket whose nodes are not one component then, all pairs
+    of different components are compared, so each two nodes of a bucket are linked or compared.
+    """
     n = prints.count()
     parts = max(4 * int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n * bands // 2_000_000))
-    return staged(verified(candidate_links(prints, bands, rows, parts), prints, threshold), "links")
+    stars = staged(candidate_links(prints, bands, rows, parts), "stars")
+    pairs = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    parents = components(staged(verified(pairs, prints, threshold), "links"))
+    ends = stars.select("key", F.explode(F.array("a", "b")).alias("node")).distinct()
+    held = ends.join(parents, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
+    per = held.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+    # two nodes were the star; a third may be linked to one of them unseen
+    mixed = per.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("most"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("comps")).where("n > 2 and comps > 1")
+    open_ = staged(held.join(mixed.select("key", "most"), "key").select("key", "node", "comp", (F.col("comp") == F.col("most")).alias("main")), "open")
+    more = staged(blocked_links(open_, prints, threshold).distinct(), "more")
+    if more.isEmpty():
+        return parents
+    return components(parents.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 5) -> DataFrame:
+    """``(doc_id, group_id)`` of ``near_duplicates``, without counting links."""
+    return _grouped(docs, id_col, text_col, width, threshold, bands, rows)[0].select("doc_id", "group_id")
+
+
+def _grouped(docs, id_col, text_col, width, threshold, bands, rows):
+    prints = staged(_fingerprints(docs, id_col, text_col, width), "prints")
+    parents = classes(prints, threshold, bands, rows)
+    rooted = staged(
+        prints.select("doc_id", "node").distinct().join(parents, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("root")),
+        "rooted",
+    )
+    groups = rooted.groupBy("root").agg(F.min("doc_id").alias("group_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return rooted.join(groups, "root").select("doc_id", "group_id", "node"), prints, parents
 
 
 def near_duplicates(
@@ -198,25 +286,15 @@ def near_duplicates(
 
     Words are runs of letters and digits of the lower-cased text.  Documents are linked when the Jaccard similarity
     of their sets of ``width``-word shingles is at least ``threshold``; a group joins all that are linked directly or
-    through others and is named by its least document.  ``links`` counts the verified links of the
-    document's text (0 if only copies of the same shingles join it).  ``bands * rows`` universal hash minima fall
+    through others and is named by its least document.  ``links`` counts the different texts of the group to which the
+    document's text is linked, all pairs of the group compared (0 if only copies of the same shingles join it).  ``bands * rows`` universal hash minima fall
     into ``bands`` bands.  Null and empty texts, those of fewer than ``width`` words and null ids have no row;
     rows with the same id and text count once; an empty table gives no rows; other columns are ignored.
     """
-    prints = staged(_fingerprints(docs, id_col, text_col, width), "prints")
-    links = linked(prints, threshold, bands, rows)
-    parents = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
-    rooted = staged(
-        prints.select("doc_id", "node")
-        .distinct()
-        .join(parents, "node", "left")
-        .join(degree, "node", "left")
-        .select("doc_id", F.coalesce("component", "node").alias("root"), F.coalesce("links", F.lit(0)).cast("long").alias("links")),
-        "rooted",
-    )
-    groups = rooted.groupBy("root").agg(F.min("doc_id").alias("group_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return rooted.join(groups, "root").select("doc_id", "group_id", "links")
+    found, prints, parents = _grouped(docs, id_col, text_col, width, threshold, bands, rows)
+    members = parents.select(F.col("component").alias("key"), "node", F.col("component").alias("comp"), F.lit(False).alias("main")).distinct()
+    degree = blocked_links(members, prints, threshold, counts=True).groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("links"))
+    return found.join(degree, "node", "left").select("doc_id", "group_id", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
 
 
 def group_pairs(groups: DataFrame, block: int = 512) -> DataFrame:

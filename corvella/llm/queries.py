@@ -18,7 +18,7 @@ def p1_groups(spark, d):
 
 
 def p1_found(spark, d):
-    return neardup.group_pairs(neardup.near_duplicates(_read(spark, d, "documents"), width=3, threshold=0.5, bands=64, rows=4))
+    return neardup.group_pairs(neardup.near_groups(_read(spark, d, "documents"), width=3, threshold=0.5, bands=64, rows=4))
 
 
 def p2_found(spark, d):

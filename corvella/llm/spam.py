@@ -10,8 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvella.llm.graphs import components
-from corvella.llm.neardup import linked
+from corvella.llm.neardup import classes
 from corvella.session import staged
 
 _TOKEN = re.compile(
@@ -96,7 +95,7 @@ def _worded(docs: DataFrame) -> DataFrame:
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     rows = staged(rows.mapInArrow(run, "row bigint, doc_id bigint, words binary, node bigint, prints binary"), "words")
-    parents = components(linked(rows.where("length(prints) > 0").select("node", "prints"), 0.7, 16, 4))
+    parents = classes(rows.where("length(prints) > 0").select("node", "prints"), 0.7, 16, 4)
     firsts = rows.groupBy("node").agg(F.min("row").alias("row")).join(parents, "node", "left").where("component is null or component = node")
     counted = rows.select("row", "doc_id", "words").join(firsts.select("row", F.lit(True).alias("counted")), "row", "left")
     return staged(counted.select("doc_id", "words", F.coalesce("counted", F.lit(False)).alias("counted")), "counted")

@@ -66,6 +66,20 @@ def test_near_duplicates_against_brute_force(spark):
     assert neardup.near_duplicates(texts(spark, [])).count() == 0
 
 
+def test_true_pairs_in_buckets_of_a_template(spark):
+    rnd = random.Random(8)
+    template = prose(rnd, 66).split()
+    own = lambda n: [f"u{rnd.randrange(10**9)}" for _ in range(n)]
+    rows = [(i, " ".join(template + own(38))) for i in range(1200)]  # pairwise 0.46
+    for i in range(0, 80, 2):
+        tail = own(38)
+        for k in (0, 1):
+            rows.append((5000 + i + k, " ".join(template + tail[:12] + own(26))))  # in pairs 0.59
+    got = {r.doc_id: r.group_id for r in neardup.near_groups(texts(spark, rows), width=3, threshold=0.5, bands=64, rows=4).collect()}
+    want = {5000 + i + k: 5000 + i for i in range(0, 80, 2) for k in (0, 1)}
+    assert got == want
+
+
 def test_components_of_a_chain_and_a_hub(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101 + i) for i in range(50)] + [(5, 5), (None, 3)]
     got = dict(graphs.components(spark.createDataFrame(links, "a bigint, b bigint")).collect())
