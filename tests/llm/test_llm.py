@@ -80,6 +80,14 @@ def test_true_pairs_in_buckets_of_a_template(spark):
     assert got == want
 
 
+def test_all_links_are_counted(spark):
+    rnd = random.Random(9)
+    base = prose(rnd, 400).split()
+    rows = [(i, " ".join([*base, f"x{i}"])) for i in range(700)] + [(900, " ".join([*base, "x1"]))]
+    got = {r.doc_id: r.links for r in neardup.near_duplicates(texts(spark, rows)).collect()}
+    assert got == {i: 699 for i, _ in rows}
+
+
 def test_components_of_a_chain_and_a_hub(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101 + i) for i in range(50)] + [(5, 5), (None, 3)]
     got = dict(graphs.components(spark.createDataFrame(links, "a bigint, b bigint")).collect())
