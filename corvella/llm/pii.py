@@ -6,7 +6,9 @@ import hashlib
 import hmac
 import re
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -145,8 +147,22 @@ def name_parts(name: str) -> tuple[list[str], str]:
     return [fold(p) for p in first.split("-") if p], fold(family[-1])
 
 
-def known_names(text: str, given: frozenset, family: frozenset) -> list[tuple[int, int]]:
-    """Spans of ``Given [I.] [link] Family`` and ``[link] Family, Given [I.]`` whose words are in the lists."""
+_NO_PAIRS = np.empty(0, np.int64)
+
+
+def _announced(given: str, family: str, pairs: np.ndarray) -> bool:
+    """Whether one of the given names and the family name are among the hashes of announced pairs."""
+    for g in given.split("-"):
+        h = xxhash.xxh64_intdigest(f"{g} {family}".encode("utf-8", "surrogatepass"), seed=42)
+        h = np.int64(h - 2**64 if h >= 2**63 else h)
+        k = pairs.searchsorted(h)
+        if k < len(pairs) and pairs[k] == h:
+            return True
+    return False
+
+
+def known_names(text: str, given: frozenset, family: frozenset, pairs: np.ndarray = _NO_PAIRS) -> list[tuple[int, int]]:
+    """Spans of ``Given [I.] [link] Family`` and ``[link] Family, Given [I.]`` whose words are in the lists, or announced together."""
     out: list[tuple[int, int]] = []
     words = []
     for m in _WORD.finditer(text):
@@ -158,22 +174,22 @@ def known_names(text: str, given: frozenset, family: frozenset) -> list[tuple[in
     i = 0
     while i < n:
         a, z, f, is_given, is_family = words[i]
-        if is_given:
+        if is_given or len(pairs):
             at, j = z, i + 1
             m = _INITIAL.match(text, at)
             if m:
                 at = m.end()
                 while j < n and words[j][0] < at:
                     j += 1
-            elif j < n and words[j][3] and not words[j][4] and words[j][0] == at + 1 and text[at].isspace():
+            elif is_given and j < n and words[j][3] and not words[j][4] and words[j][0] == at + 1 and text[at].isspace():
                 at, j = words[j][1], j + 1
             while j < n and words[j][2] in _LINKS and words[j][0] == at + 1 and text[at].isspace():
                 at, j = words[j][1], j + 1
-            if j < n and words[j][4] and words[j][0] == at + 1 and text[at].isspace():
+            if j < n and words[j][0] == at + 1 and text[at].isspace() and ((is_given and words[j][4]) or (len(pairs) and f not in _LINKS and _announced(f, words[j][2], pairs))):
                 out.append((a, words[j][1]))
                 i = j + 1
                 continue
-        if is_family and i + 1 < n and words[i + 1][3] and text[z : words[i + 1][0]] in (", ", ",\n"):
+        if i + 1 < n and text[z : words[i + 1][0]] in (", ", ",\n") and ((is_family and words[i + 1][3]) or (len(pairs) and _announced(words[i + 1][2], f, pairs))):
             k, begin = i, a
             while k > 0 and words[k - 1][2] in _LINKS and words[k - 1][1] + 1 == begin:
                 k, begin = k - 1, words[k - 1][0]
@@ -186,7 +202,7 @@ def known_names(text: str, given: frozenset, family: frozenset) -> list[tuple[in
     return out
 
 
-def find_items(text: str, given: frozenset = frozenset(), family: frozenset = frozenset(), is_json: bool = False) -> list[tuple[str, int, int]]:
+def find_items(text: str, given: frozenset = frozenset(), family: frozenset = frozenset(), is_json: bool = False, pairs: np.ndarray = _NO_PAIRS) -> list[tuple[str, int, int]]:
     """``(kind, start, end)`` of the items in a readable text, without overlaps."""
     spans: list[tuple[str, int, int]] = []
     taken = bytearray(len(text))
@@ -210,7 +226,7 @@ def find_items(text: str, given: frozenset = frozenset(), family: frozenset = fr
         for m in PHONE.finditer(text):
             if sum(c.isdigit() for c in m.group()) >= 8:
                 claim("phone", *m.span())
-    for a, z in known_names(text, given, family):
+    for a, z in known_names(text, given, family, pairs):
         claim("name", a, z)
     for a, z in cued_names(text, is_json):
         claim("name", a, z)
@@ -233,10 +249,10 @@ def canonical(kind: str, value: str) -> str:
     return " ".join(value.casefold().split())
 
 
-def learn_names(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", metadata_col: str | None = "metadata_json", least_share: float = 1 / 50_000) -> tuple[frozenset, frozenset]:
-    """Given and family names that stand in announced names of all documents with two partners or more.
+def learn_names(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", metadata_col: str | None = "metadata_json") -> tuple[frozenset, frozenset, np.ndarray]:
+    """Given and family names that stand in announced names of all documents with two partners or more, and all announced pairs.
 
-    A name must make ``least_share`` of all announced ones, so each list has at most ``2 / least_share`` entries.
+    The pairs are sorted 64-bit hashes, 8 bytes each.  The lists and the hashes grow with the different names of the documents.
     """
 
     def run(batches):
@@ -254,26 +270,28 @@ def learn_names(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     cols = [docs[text_col]] + ([docs[metadata_col]] if metadata_col else [])
     seen = docs.select(*cols).mapInArrow(run, "part string, word string, partner string").groupBy("part", "word", "partner").agg(F.count(F.lit(1)).alias("n"))
+    seen = staged(seen, "announced")
+    pairs = seen.where("part = 'given' and length(word) > 1 and length(partner) > 1")
     words = staged(seen.groupBy("part", "word").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("partners")), "names")
-    total = words.agg(F.sum("n")).first()[0] or 0
-    kept = words.where((F.col("partners") >= 2) & (F.col("n") >= least_share * total) & (F.length("word") > 1)).collect()
-    return tuple(frozenset(r.word for r in kept if r.part == p) for p in ("given", "family"))
+    kept = words.where((F.col("partners") >= 2) & (F.length("word") > 1)).collect()
+    together = pairs.select(F.xxhash64(F.concat_ws(" ", "word", "partner")).alias("h")).distinct().toArrow().column("h").to_numpy()
+    return *(frozenset(r.word for r in kept if r.part == p) for p in ("given", "family")), np.sort(together)
 
 
-def personal_items(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", metadata_col: str | None = "metadata_json", names: tuple[frozenset, frozenset] | None = None) -> DataFrame:
+def personal_items(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", metadata_col: str | None = "metadata_json", names: tuple | None = None) -> DataFrame:
     """``(doc_id, field, kind, start_pos, end_pos, item, gender)``: every item of personal data in both fields.
 
     Positions are in characters of the field as stored, ``item`` is its canonical form and ``gender`` ``m``, ``f`` or empty by a
     title before it.  Names are those announced by a title or cue, and all pairs of the given and family names that ``learn_names``
-    finds in the collection.  Null and empty fields have no items; broken JSON is read as far as it goes; repeated rows give
+    finds in the collection, and all other mentions of an announced given and family name together.  Null and empty fields have no items; broken JSON is read as far as it goes; repeated rows give
     their items again.
     """
-    given, family = names if names is not None else learn_names(docs, id_col, text_col, metadata_col)
-    lists = docs.sparkSession.sparkContext.broadcast((given, family))
+    lists = docs.sparkSession.sparkContext.broadcast(names if names is not None else learn_names(docs, id_col, text_col, metadata_col))
     fields = [text_col] + ([metadata_col] if metadata_col else [])
 
     def run(batches):
-        given, family = lists.value
+        given, family, *more = lists.value
+        pairs = more[0] if more else _NO_PAIRS
         for b in batches:
             keys = b.column(0).to_pylist()
             rows = []
@@ -282,7 +300,7 @@ def personal_items(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     if not raw or key is None:
                         continue
                     text, where = readable(raw, c == 1)
-                    for kind, a, z in find_items(text, given, family, c == 1):
+                    for kind, a, z in find_items(text, given, family, c == 1, pairs):
                         gender = ""
                         if kind == "name":
                             before = text[max(0, a - 8) : a].split()

@@ -146,6 +146,14 @@ def test_redaction(spark):
     assert pii.personal_items(d.limit(0)).count() == 0
 
 
+def test_names_announced_with_one_partner(spark):
+    rows = [(1, "Dr. Zbigniew Kowalczyk wrote. Later Kowalczyk, Zbigniew signed.", None), (2, "so Zbigniew Kowalczyk came, and Zbigniew Works did not", None)]
+    rows += [(10 + i, f"Dr. {a}o {b}er", None) for i, (a, b) in enumerate((f"Pel{x}{y}", f"Mor{y}{x}") for x in "abcdefgh" for y in "klmnopqr")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, metadata_json string")
+    got = {(r.doc_id, r.start_pos) for r in pii.personal_items(d).where("kind = 'name' and doc_id < 10").collect()}
+    assert got == {(1, 4), (1, 36), (2, 3)}
+
+
 def test_stand_ins_never_collide(spark):
     items = spark.range(3000).select(F.lit("phone").alias("kind"), F.concat(F.lit("12"), F.lpad("id", 4, "0")).alias("item"), F.lit("").alias("gender"))
     got = pii.surrogates(items, b"k")
