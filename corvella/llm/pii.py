@@ -351,25 +351,33 @@ def surrogate(kind: str, item: str, gender: str, attempt: int, key: bytes) -> st
     out = []
     for i, c in enumerate(item):
         if c.isdigit() and i >= keep:
-            out.append(str(r.below(10)))
+            out.append(str((int(c) + 1 + r.below(9)) % 10 if kind == "address" else r.below(10)))
         elif c.isalpha() and kind == "id_number":
             out.append(chr(65 + r.below(26)))
         else:
             out.append(c)
     if kind == "address":
-        words = "".join(out).split(" ")
-        words = [w if not w.isalpha() or len(w) < 5 or w in _STREET_WORDS else "".join(_SYLLABLES[r.below(16)] for _ in range(2)) for w in words]
-        return " ".join(words).title()
+        fresh = lambda m: m.group() if m.group() in _STREET_WORDS else "".join(_SYLLABLES[r.below(16)] for _ in range(2)) if len(m.group()) > 1 else chr(97 + (ord(m.group()[0]) + r.below(25)) % 26)
+        words = [_LETTERS.sub(fresh, w) for w in "".join(out).split(" ")]
+        return " ".join(w if w in _STREET_LINKS else w.title() for w in words)
     return "".join(out)
 
 
-_STREET_WORDS = {"street", "close", "avenue", "boulevard", "chemin", "impasse", "calle", "avenida", "place", "drive", "court"}
+_LETTERS = re.compile(r"[^\W\d_]+")
+_STREET_LINKS = {"de", "del", "la", "las", "los", "el", "du", "des", "le", "les", "d", "l", "der", "die", "dem", "den", "am", "an", "im", "in", "zum", "zur", "auf", "of", "the"}
+#: Kept in stand-ins of addresses: kinds of streets, parts of a house, and links.
+_STREET_WORDS = _STREET_LINKS | {
+    *("street", "st", "close", "avenue", "ave", "road", "rd", "lane", "ln", "drive", "dr", "court", "ct", "place", "pl", "square", "way", "terrace", "boulevard", "blvd", "bd", "flat", "apt", "apartment", "suite", "unit", "floor"),
+    *("straße", "strasse", "str", "weg", "platz", "gasse", "allee", "ring", "ufer", "damm", "haus", "rue", "av", "chemin", "impasse", "allée", "quai", "bis", "ter", "bât", "appt", "étage"),
+    *("calle", "c", "avenida", "avda", "paseo", "plaza", "pza", "camino", "carretera", "piso", "n", "nº", "º", "ª"),
+}
 
 
 def surrogates(items: DataFrame, key: bytes, rounds: int = 12) -> DataFrame:
-    """``(kind, item, stand_in)``: one stand-in an item, the same for all its mentions, no two of a kind alike.
+    """``(kind, item, stand_in)``: one stand-in an item, the same for all its mentions, no two of a kind alike and none an item itself.
 
-    Stand-ins that collide are drawn again with the next attempt, all but the one of the least item, until none do.
+    Stand-ins that collide are drawn again with the next attempt, all but the one of the least item, and so are those that are
+    an item of that kind, until none do.
     """
     spark = items.sparkSession
 
@@ -382,16 +390,24 @@ def surrogates(items: DataFrame, key: bytes, rounds: int = 12) -> DataFrame:
     schema = "kind string, item string, gender string, attempt int, stand_in string"
     drawn = staged(items.groupBy("kind", "item").agg(F.max("gender").alias("gender")).withColumn("attempt", F.lit(0)).mapInArrow(draw, schema), "surrogates")
     order = Window.partitionBy("kind", "stand_in").orderBy("attempt", "item")
+    real = items.select(F.col("kind").alias("_kind"), F.col("item").alias("_item")).distinct()
+    as_item = F.udf(canonical, "string")
+
+    def placed(drawn: DataFrame) -> DataFrame:
+        """With ``place`` 1 for those that stay."""
+        ranked = drawn.withColumn("place", F.row_number().over(order)).withColumn("_as", as_item("kind", "stand_in"))
+        ranked = ranked.join(real, (F.col("kind") == F.col("_kind")) & (F.col("_as") == F.col("_item")), "left")
+        return staged(ranked.withColumn("place", F.when(F.col("_item").isNull(), F.col("place")).otherwise(2)).drop("_as", "_kind", "_item"), "placed")
+
     for _ in range(rounds):
-        ranked = drawn.withColumn("place", F.row_number().over(order))
+        ranked = placed(drawn)
         again = ranked.where("place > 1")
         if again.isEmpty():
             return drawn.select("kind", "item", "stand_in")
         fresh = again.select("kind", "item", "gender", (F.col("attempt") + 1).alias("attempt")).mapInArrow(draw, schema)
         drawn = staged(ranked.where("place = 1").drop("place").unionByName(fresh), "surrogates")
     # what still collides after that many attempts is told apart by its own hash
-    place = F.row_number().over(order)
-    return drawn.withColumn("place", place).select("kind", "item", F.when(F.col("place") == 1, F.col("stand_in")).otherwise(F.concat("stand_in", F.lit("-"), F.sha2("item", 256))).alias("stand_in"))
+    return placed(drawn).select("kind", "item", F.when(F.col("place") == 1, F.col("stand_in")).otherwise(F.concat("stand_in", F.lit("-"), F.sha2("item", 256))).alias("stand_in"))
 
 
 def dressed(kind: str, stand_in: str, original: str) -> str:

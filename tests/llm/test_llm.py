@@ -154,6 +154,17 @@ def test_names_announced_with_one_partner(spark):
     assert got == {(1, 4), (1, 36), (2, 3)}
 
 
+def test_stand_ins_of_addresses_keep_no_name_or_number(spark):
+    given = {"12 elm road": "elm", "4 oak lane": "oak", "calle de la luz 4": "luz", "goethestr. 12": "goethe", "8 rue jean-jaurès": "jean|jaurès", "7 rue de l'église": "église"}
+    for item, names in given.items():
+        for n in range(60):
+            new = pii.surrogate("address", item, "", n, b"k").casefold()
+            assert not re.search(names, new) and not set(re.findall(r"\d+", item)) & set(re.findall(r"\d+", new))
+    items = spark.range(400).select(F.lit("phone").alias("kind"), F.concat(F.lit("12"), F.lpad("id", 3, "0")).alias("item"), F.lit("").alias("gender"))
+    got = pii.surrogates(items, b"k").collect()
+    assert len(got) == 400 and not {r.stand_in for r in got} & {r.item for r in got}
+
+
 def test_stand_ins_never_collide(spark):
     items = spark.range(3000).select(F.lit("phone").alias("kind"), F.concat(F.lit("12"), F.lpad("id", 4, "0")).alias("item"), F.lit("").alias("gender"))
     got = pii.surrogates(items, b"k")
