@@ -53,8 +53,8 @@ def p6_found(spark, d):
 
 
 def p6_coverage(spark, d):
-    """Also passages that stand in pieces or another order: seeds of eight words, tiles of five."""
-    found = leakage.leaked_items(_read(spark, d, "documents"), _read(spark, d, "eval_items"), seed_words=8)
+    """Also passages that stand in pieces or another order: seeds and tiles of five words, coverage alone decides."""
+    found = leakage.leaked_items(_read(spark, d, "documents"), _read(spark, d, "eval_items"), seed_words=5)
     return found.where("coverage >= 0.5")
 
 

@@ -247,6 +247,16 @@ def test_tiles_and_leaks(spark):
     assert leakage.leaked_items(texts(spark, rows), items.limit(0)).count() == 0
 
 
+def test_passages_in_short_pieces_are_covered(spark, tmp_path):
+    from corvella.llm import queries
+
+    w = [f"i{k}" for k in range(36)]
+    rows = [(1, " ".join(" ".join(w[k : k + 6]) for k in range(30, -1, -6))), (2, " ".join(x if k % 7 else f"y{k}" for k, x in enumerate(w))), (3, " ".join(w[:6]))]
+    texts(spark, rows).select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(10, " ".join(w))], "item_id bigint, text string").write.parquet(f"{tmp_path}/eval_items.parquet")
+    assert {(r.doc_id, r.item_id) for r in queries.p6_coverage(spark, str(tmp_path)).collect()} == {(1, 10), (2, 10)}
+
+
 # --- 7 ---
 def test_rake_meets_marginals_within_limits():
     cells = np.array([[0, 0, 0], [0, 1, 0], [1, 0, 0], [1, 1, 0]])
