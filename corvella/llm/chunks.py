@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 
 import pyarrow as pa
@@ -19,59 +20,69 @@ _WORD = re.compile(r"\d*[^\W\d_][^\W_]*")
 _END = re.compile(r"\n\s*\n|\n|[.!?…]['\"”»)\]]*\s")
 
 
-def valley_points(text: str, size: int, overlap: int, block: int = 3) -> list[tuple[int, int]]:
+def _cohesion(bags: list[Counter], block: int) -> list[float]:
+    """Of each gap between two sentences the cosine of the words of the ``block`` sentences before and after.
+
+    A word weighs the more the fewer sentences of the text have it.
+    """
+    n = len(bags)
+    held = Counter(w for b in bags for w in b)
+    weighed = [{w: c * math.log(1 + n / held[w]) for w, c in b.items()} for b in bags]
+    out = []
+    for i in range(1, n):
+        left, right = {}, {}
+        for side, part in ((left, weighed[max(0, i - block) : i]), (right, weighed[i : i + block])):
+            for sentence in part:
+                for w, v in sentence.items():
+                    side[w] = side.get(w, 0.0) + v
+        norm = math.sqrt(sum(v * v for v in left.values()) * sum(v * v for v in right.values()))
+        out.append(sum(v * right[w] for w, v in left.items() if w in right) / norm if norm else 0.0)
+    return out
+
+
+def _rises(sim: list[float]) -> list[float]:
+    """How far the cohesion rises before each gap, to the last peak: one pass, as a gap shares the peak of the one before that is not lower."""
+    out, peak, last = [], 0.0, -1.0
+    for s in sim:
+        peak = peak if last >= s else s
+        out.append(peak - s)
+        last = s
+    return out
+
+
+def valley_points(text: str, size: int, overlap: int, block: int = 4) -> list[tuple[int, int]]:
     """Pieces ``(start, end)`` cut at valleys of lexical cohesion.
 
-    The text falls into sentences at line ends and sentence marks.  Between two sentences the
-    cohesion is the cosine of the word counts of the ``block`` sentences before and after, and
-    the depth of a valley is how far the cohesion rises to the nearest peaks on both sides.  Each
-    piece ends at the deepest valley in the second half of the window of ``size`` characters, at any
-    earlier one where that half has none, and at white space or at ``size`` where there is no
-    sentence end at all.  A piece starts ``overlap`` characters before the last one's end.
+    The text falls into sentences at line ends and sentence marks.  The depth of the gap between two is how far the cohesion of
+    the ``block`` sentences on both sides rises to the nearest peaks before and after it.  Each piece ends at the deepest gap of the
+    whole window of ``size`` characters behind the overlap, the later of equal ones, and at white space or at ``size`` where the
+    window has no gap at all.  A piece starts ``overlap`` characters before the last one's end.  Work is linear in the text.
     """
     n = len(text)
     if not text.strip():
         return []
     ends = [m.end() for m in _END.finditer(text) if m.end() < n]
-    spans = list(zip([0, *ends], [*ends, n]))
-    bags = [Counter(_WORD.findall(text[a:b].lower())) for a, b in spans]
-    sim = []
-    left: Counter = Counter()
-    for i in range(len(ends)):
-        left = sum(bags[max(0, i - block + 1) : i + 1], Counter())
-        right = sum(bags[i + 1 : i + 1 + block], Counter())
-        norm = math.sqrt(sum(v * v for v in left.values()) * sum(v * v for v in right.values()))
-        sim.append(sum(v * right[w] for w, v in left.items() if w in right) / norm if norm else 0.0)
-    depth = []
-    for i, s in enumerate(sim):
-        a = i
-        while a > 0 and sim[a - 1] >= sim[a]:
-            a -= 1
-        b = i
-        while b + 1 < len(sim) and sim[b + 1] >= sim[b]:
-            b += 1
-        depth.append(sim[a] + sim[b] - 2 * s)
-    out, start, low = [], 0, 0
-    while True:
-        stop = start + size
-        if n <= stop:
-            out.append((start, n))
-            return out
-        while low < len(ends) and ends[low] <= start + overlap:
-            low += 1
-        best, high = None, low
-        while high < len(ends) and ends[high] <= stop:
-            rank = (ends[high] > start + max(size // 2, overlap), depth[high], ends[high])
-            if best is None or rank > best:
-                best = rank
-            high += 1
-        if best:
-            end = best[2]
+    sim = _cohesion([Counter(_WORD.findall(text[a:b].lower())) for a, b in zip([0, *ends], [*ends, n])], block)
+    depth = [a + b for a, b in zip(_rises(sim), reversed(_rises(sim[::-1])))]
+    out, start = [], 0
+    while n > start + size:
+        low, high = bisect_right(ends, start + overlap), bisect_right(ends, start + size)
+        if low < high:
+            end = ends[max(range(low, high), key=lambda k: (depth[k], k))]
         else:
-            gap = max(text.rfind(" ", start + overlap + 1, stop), text.rfind("\n", start + overlap + 1, stop))
-            end = gap + 1 if gap >= 0 else stop
+            gap = max(text.rfind(mark, start + overlap + 1, start + size) for mark in (" ", "\n"))
+            end = gap + 1 if gap >= 0 else start + size
         out.append((start, end))
         start = end - overlap
+    return [*out, (start, n)]
+
+
+def segmentation_error(ends: list[int], true_ends: list[int], length: int) -> float:
+    """Pk: the share of the pairs of places half a mean segment apart of which only one segmentation holds both in one segment."""
+    k = max(1, round(length / (len(true_ends) + 1) / 2))
+    ends, true_ends = sorted(ends), sorted(true_ends)
+    split = lambda cuts, i: bisect_right(cuts, i + k) > bisect_right(cuts, i)
+    return sum(split(ends, i) != split(true_ends, i) for i in range(length - k)) / max(1, length - k)
 
 
 def _placed(metadata: str | None, start: int, end: int, index: int) -> str | None:

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -192,6 +193,32 @@ def test_pieces(spark):
     assert chunks.split_oversized(d.limit(0)).count() == 0
 
 
+def test_valleys_find_topics_in_linear_time():
+    rnd = random.Random(12)
+    error = even = 0.0
+    for _ in range(20):
+        ends, text = [], ""
+        for k in rnd.sample(range(40), 8):
+            own = WORDS[k * 40 : k * 40 + 40] + WORDS[3900:3940]
+            for _ in range(rnd.randrange(5, 9)):
+                text += " ".join(rnd.choices(own, k=12)) + ". "
+            ends.append(len(text))
+        found = [z for _, z in chunks.valley_points(text, 1000, 0)][:-1]
+        step = len(text) // (len(found) + 1)
+        error += chunks.segmentation_error(found, ends[:-1], len(text)) / 20
+        even += chunks.segmentation_error([step * (i + 1) for i in range(len(found))], ends[:-1], len(text)) / 20
+    assert error < 0.2 and error < even / 2
+    sim = [rnd.choice([0.0, 0.2, 0.2, 0.5]) for _ in range(300)]
+    for i, rise in enumerate(chunks._rises(sim)):
+        k = i
+        while k and sim[k - 1] >= sim[k]:
+            k -= 1
+        assert rise == sim[k] - sim[i]
+    began = time.process_time()
+    assert len(chunks.valley_points("the same words here. " * 20_000, 1000, 200)) > 500
+    assert time.process_time() - began < 20
+
+
 # --- 5 ---
 def test_graph_recall():
     r = np.random.default_rng(1)
