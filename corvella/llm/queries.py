@@ -40,12 +40,12 @@ def p3_valleys(spark, d):
 
 
 def p5_found(spark, d):
-    return vamana.similar_pairs(vamana.similar_vectors(_read(spark, d, "documents"), probes=5))
+    return vamana.similar_pairs(vamana.similar_vectors(_read(spark, d, "documents")))
 
 
 def p5_neighbours(spark, d):
     """The rows whose id is divisible by 50 against all shards, of whatever similarity."""
-    return vamana.similar_vectors(_read(spark, d, "documents"), query_every=50, probes=None, beam=48)
+    return vamana.similar_vectors(_read(spark, d, "documents"), query_every=50, each_shard=True, beam=64, shard_size=16_384)
 
 
 def p6_found(spark, d):

@@ -238,8 +238,8 @@ def test_similar_vectors(spark):
     rows += [(2000, None), (2001, [0.0] * 8), (2002, [1.0]), (2003, [float("nan")] * 8), (2004, [None] * 8), (None, [1.0] * 8)]
     d = spark.createDataFrame([(*x, 1, "s") for x in rows], "doc_id bigint, embedding array<float>, shard int, id string")
     x = {i: np.array(v) / np.linalg.norm(v) for i, v in rows if i is not None and i < 2000}
-    for shard_size, probes in ((10_000, 2), (60, 3), (60, None)):
-        got = vamana.similar_vectors(d, dim=8, shard_size=shard_size, probes=probes).collect()
+    for options in ({}, {"shard_size": 120}, {"shard_size": 60, "each_shard": True}):
+        got = vamana.similar_vectors(d, dim=8, **options).collect()
         assert len({(g.id, g.neighbour) for g in got}) == len(got)
         assert all(abs(g.similarity - x[g.id] @ x[g.neighbour]) < 1e-4 and g.id != g.neighbour for g in got)
         mine = {}
@@ -256,6 +256,36 @@ def test_similar_vectors(spark):
     assert vamana.similar_vectors(d.where("doc_id > 1999"), dim=8).count() == 0
 
 
+def test_recall_with_many_shards(spark):
+    """Vectors without any structure, the hardest for cells, and a third of all rows in one dense cluster."""
+    r = np.random.default_rng(4)
+    x = np.concatenate([r.normal(size=(2000, 24)), r.normal(size=24) + 0.2 * r.normal(size=(1000, 24))]).astype(np.float32)
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "doc_id bigint, embedding array<float>")
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    s = x @ x.T
+    np.fill_diagonal(s, -2)
+    best = np.argsort(-s, axis=1)[:, :5]
+    for options, least in (({"shard_size": 550}, 0.93), ({"shard_size": 90, "query_every": 50, "each_shard": True, "beam": 64}, 0.99)):
+        got = {}
+        for g in vamana.similar_vectors(d, dim=24, **options).collect():
+            got.setdefault(g.id, set()).add(g.neighbour)
+        assert len(got) == (60 if "each_shard" in options else 3000)
+        assert np.mean([len(v & set(best[i].tolist())) / 5 for i, v in got.items()]) > least
+
+
+def test_cells_are_split_and_found_in_two_levels(spark):
+    r = np.random.default_rng(5)
+    x = np.concatenate([r.normal(size=(1000, 16)), r.normal(size=16) + 0.05 * r.normal(size=(1000, 16))]).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    d = spark.createDataFrame([(i, bytearray(v.tobytes())) for i, v in enumerate(x)], "id bigint, vec binary")
+    tree = vamana.cell_tree(d, 2000, 40, 16, most_parents=4)
+    assert 30 <= len(tree[1]) <= 50 and len(tree[0]) == 4
+    home = np.bincount(vamana.nearest_cells(x, 1, *tree)[:, 0])
+    assert home.max() < 300
+    both = [vamana.nearest_cells(x, 3, *tree, flat=flat) for flat in (4096, 0)]
+    assert (both[0] == both[1]).mean() > 0.9
+
+
 # --- 6 ---
 def test_tiles_and_leaks(spark):
     ids = lambda s: leakage.word_ids(s.split(), {})
