@@ -58,6 +58,12 @@ def p6_coverage(spark, d):
     return found.where("coverage >= 0.5")
 
 
+def p6_whole(spark, d):
+    """Items that stand in a document from their first to their last word."""
+    found = leakage.leaked_items(_read(spark, d, "documents"), _read(spark, d, "eval_items"))
+    return found.where("longest = item_words").select("doc_id", "item_id", "item_words").distinct()
+
+
 def p7_found(spark, d):
     counted = mixture.counted_documents(_read(spark, d, "documents"))
     return mixture.plan_mix(counted, _read(spark, d, "mix_targets"))[1].where("misses").select("source")
@@ -103,6 +109,8 @@ g AS (SELECT item_id, n, array_to_string(w[k:k + n - 1], ' ') AS g FROM (SELECT
 d AS (SELECT doc_id, {_PLAIN} AS w FROM documents WHERE text IS NOT NULL), m AS (SELECT DISTINCT n FROM n),
 h AS (SELECT doc_id, n, array_to_string(w[k:k + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, m))
 SELECT DISTINCT doc_id, item_id FROM h JOIN g USING (n, g)""",
+    "p6_whole": f"""WITH i AS (SELECT item_id, {_PLAIN} AS w FROM eval_items), d AS (SELECT doc_id, ' ' || array_to_string({_PLAIN}, ' ') || ' ' AS t FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, item_id, len(w)::BIGINT AS item_words FROM d JOIN i ON len(w) > 0 AND contains(t, ' ' || array_to_string(w, ' ') || ' ')""",
     "p7_found": """WITH t AS (SELECT source, sum(length(text)) AS c FROM documents GROUP BY source)
 SELECT m.source FROM mix_targets m LEFT JOIN t USING (source) WHERE coalesce(c, 0) * max_repeats < target_share * (SELECT sum(c) FROM t)""",
 }

@@ -304,6 +304,14 @@ def test_tiles_and_leaks(spark):
     assert leakage.leaked_items(texts(spark, rows), items.limit(0)).count() == 0
 
 
+def test_tiling_is_linear_in_repetitive_texts():
+    began = time.process_time()
+    assert leakage.tiles(np.full(200_000, 7, np.uint64), np.full(400, 7, np.uint64), 5) == [(0, 0, 400)]
+    words = np.random.default_rng(1).integers(0, 2, 60_400).astype(np.uint64)
+    assert sum(k for _, _, k in leakage.tiles(words[400:], words[:400], 5)) > 380
+    assert time.process_time() - began < 10
+
+
 def test_passages_in_short_pieces_are_covered(spark, tmp_path):
     from corvella.llm import queries
 
