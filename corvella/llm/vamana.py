@@ -317,7 +317,7 @@ def similar_vectors(
     k: int = 5,
     query_every: int = 1,
     copies: int | None = None,
-    shard_size: int = 131_072,
+    shard_size: int = 32_768,
     degree: int = 16,
     beam: int = 16,
     each_shard: bool = False,
@@ -330,7 +330,7 @@ def similar_vectors(
 
     A shard holds about ``shard_size`` vectors and one graph.  Up to that many rows there is one shard.  Beyond it every vector is indexed in the
     ``copies`` shards of its nearest centres, and asks there, starting from itself: two vectors meet if they share a shard.  None takes the root of the number of cells,
-    8 at the most, which finds neighbours without any cluster structure too; near-copies meet with 2.
+    6 at the most, which finds neighbours without any cluster structure too; near-copies meet with 2.
     With ``each_shard`` a vector is indexed once and every query asks each shard, which is exact but for the beam and meant for few queries.
     """
     spark = df.sparkSession
@@ -354,7 +354,7 @@ def similar_vectors(
     elif copies:
         cells = -(-n * copies // shard_size)
     else:
-        copies = next((m for m in range(2, 8) if m * m >= -(-n * m // shard_size)), 8)
+        copies = next((m for m in range(2, 6) if m * m >= -(-n * m // shard_size)), 6)
         cells = -(-n * copies // shard_size)
     cells = max(cells, copies)
     tree = cell_tree(reps, n, cells, dim)
