@@ -160,10 +160,9 @@ def _found(ids: np.ndarray, counts: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def _gain(tf: np.ndarray, count: np.ndarray, base: np.ndarray, log_n: float) -> np.ndarray:
-    """Each pair's mutual information by the other documents, discounted where they have it rarely, within 0 and 1."""
+    """Each pair's mutual information by the other documents, discounted where they have it rarely; 0 where they have it not at all."""
     other = np.maximum(count - tf, 0).astype(np.float64)
-    pmi = (np.log(np.maximum(other, 1)) - log_n - base) * (other / (other + 1))
-    return tf * np.clip(pmi, 0, 1) * (other > 0)
+    return tf * (np.log(np.maximum(other, 1)) - log_n - base) * (other / (other + 1))
 
 
 def _limit(tf: np.ndarray, pairs: np.ndarray, total: int) -> np.ndarray:
@@ -179,13 +178,12 @@ def collocation_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """``(doc_id, pairs, mean_pmi, repeated)`` of each document with two words or more.
 
     ``mean_pmi`` is the mean over neighbouring words of their pointwise mutual information, counted in all other
-    documents, discounted by ``c / (c + 1)`` for ``c`` occurrences and held within 0 and 1; a pair that
-    no other document has, or with a link in it, is 0.  ``repeated`` is the share of pairs that recur at least three times
+    documents, discounted by ``c / (c + 1)`` for ``c`` occurrences; a pair that no other document has, or with a link in it, is 0.  ``repeated`` is the share of pairs that recur at least three times
     and are 300 times as frequent in the document as in the others (30 times from five occurrences), or make a twentieth of all occurrences of that pair.
 
     Counts cover one text of each class of copies and near-copies (word pairs of Jaccard similarity 0.7, also through others), and every
     document is scored against them.  Words and pairs above ``share`` of the corpus (at most ``12 / share`` by the definition of
-    the bound in characters) are counted first and broadcast; rarer words weigh as ``share``; rarer pairs meet
+    the bound in characters) are counted first and broadcast; rarer words weigh as ``share``, the smoothing of their probability; rarer pairs meet
     in parts by their hash, each document's once, so no pair is hot.  Null and empty texts have no row, repeated rows
     of an id are scored one by one, other columns are ignored.  The input must be stable when read again.
     """
@@ -308,26 +306,26 @@ def spam_pages(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    spread: float = 5.5,
+    spread: float = 7.0,
     floor: float = 0.25,
     ceiling: float = 0.65,
     repeats: float = 0.3,
-    least_pairs: int = 8,
+    weight: float = 4.0,
 ) -> DataFrame:
     """The scores of ``collocation_scores`` with ``salad``, ``stuffed`` and ``spam``.
 
     ``salad`` marks incoherent texts: their mean mutual information lies ``spread`` times the distance from the
-    corpus' lower quartile to its median below that median; the bound is held within ``floor`` and ``ceiling``, so
-    neither a corpus with much spam nor one of great uniformity moves it away.  ``stuffed`` marks texts of which
-    more than ``repeats`` are excessively repeated collocations, which finds spam that stands in the corpus several times.
-    Texts of fewer than ``least_pairs`` word pairs are neither.
+    corpus' lower quartile to its median below that median; the bound is held within ``floor`` and ``ceiling`` of the median, so
+    neither a corpus with much spam nor one of great uniformity moves it away.  The median counts as ``weight`` more pairs of every text, so the few
+    pairs of a short one decide nothing alone.  ``stuffed`` marks texts of which more than ``repeats`` are excessively repeated
+    collocations, which finds spam that stands in the corpus several times.
     """
     scores = staged(collocation_scores(docs, id_col, text_col), "scores")
-    half, low = scores.where(F.col("pairs") >= least_pairs).agg(F.percentile_approx("mean_pmi", F.array(F.lit(0.5), F.lit(0.25)), 10_000)).first()[0] or (0.0, 0.0)
-    bound = min(max(half - spread * (half - low), floor), ceiling)
-    enough = F.col("pairs") >= least_pairs
+    half, low = scores.agg(F.percentile_approx("mean_pmi", F.array(F.lit(0.5), F.lit(0.25)), 10_000)).first()[0] or (0.0, 0.0)
+    bound = min(max(half - spread * (half - low), floor * half), ceiling * half)
+    steadied = (F.col("mean_pmi") * F.col("pairs") + weight * half) / (F.col("pairs") + weight)
     return (
-        scores.withColumn("salad", enough & (F.col("mean_pmi") < bound))
-        .withColumn("stuffed", enough & (F.col("repeated") > repeats))
+        scores.withColumn("salad", steadied < bound)
+        .withColumn("stuffed", F.col("repeated") > repeats)
         .withColumn("spam", F.col("salad") | F.col("stuffed"))
     )

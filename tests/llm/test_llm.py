@@ -367,8 +367,7 @@ def brute_scores(rows):
         for (a, b), k in Counter(zip(w, w[1:])).items():
             c = bi[a, b] - k
             if c:
-                p = np.log(c * total / (max(uni[a], 2) * max(uni[b], 2))) * c / (c + 1)
-                gain += k * min(max(p, 0), 1)
+                gain += k * np.log(c * total / (max(uni[a], 2) * max(uni[b], 2))) * c / (c + 1)
             over += k * (k >= 3 and k >= 0.05 * bi[a, b])
         out[i] = (gain / (len(w) - 1), over / (len(w) - 1))
     return out
