@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvella.llm import chunks, leakage, mixture, neardup, pii, spam, vamana
@@ -40,13 +40,23 @@ def p3_valleys(spark, d):
     return chunks.split_oversized(_read(spark, d, "ingest_chunks"), method="valleys")
 
 
+def p3_valley_cover(spark, d):
+    """Of each record that is cut: where its pieces begin and end, and whether all are within the size and overlap as they should."""
+    p = chunks.split_oversized(_read(spark, d, "ingest_chunks"), method="valleys")
+    before = F.lag("char_end").over(Window.partitionBy("chunk_id").orderBy("char_start"))
+    p = p.withColumn("gap", before - F.col("char_start"))
+    right = F.every((F.col("char_end") - F.col("char_start") <= 1000) & (F.length("text") <= 1000) & (F.coalesce("gap", F.lit(200)) == 200))
+    return p.groupBy("chunk_id").agg(F.min("char_start").alias("first_start"), F.max("char_end").alias("last_end"), right.alias("within"))
+
+
 def p5_found(spark, d):
     return vamana.similar_pairs(vamana.similar_vectors(_read(spark, d, "documents")))
 
 
 def p5_neighbours(spark, d):
     """The rows whose id is divisible by 50 against all shards, of whatever similarity."""
-    return vamana.similar_vectors(_read(spark, d, "documents"), query_every=50, each_shard=True, beam=64, shard_size=16_384)
+    found = vamana.similar_vectors(_read(spark, d, "documents"), query_every=50, each_shard=True, beam=64, shard_size=16_384)
+    return found.select("id", "neighbour", F.round("similarity", 5).alias("similarity"))
 
 
 def p6_found(spark, d):
@@ -107,6 +117,17 @@ l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE
 e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
 r AS (SELECT a AS x, b AS y FROM e UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a)
 SELECT DISTINCT x AS doc_a, y AS doc_b FROM r WHERE x < y""",
+    "p1_groups": r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
+k AS (SELECT doc_id, md5(string_agg(g, '|' ORDER BY g)) AS k, count(*) AS n FROM s GROUP BY doc_id), o AS (SELECT k, min(doc_id) AS o, any_value(n) AS n FROM k GROUP BY k),
+t AS (SELECT o, g, n FROM o JOIN s ON s.doc_id = o.o), c AS (SELECT a.o AS a, b.o AS b, any_value(a.n) AS x, any_value(b.n) AS y, count(*) AS c FROM t a JOIN t b ON a.g = b.g AND a.o <> b.o GROUP BY 1, 2),
+l AS (SELECT a, b FROM c WHERE c >= 0.8 * (x + y - c)), r AS (SELECT o AS x, o AS y FROM o UNION SELECT r.x, l.b FROM r JOIN l ON r.y = l.a),
+m AS (SELECT x, min(y) AS root FROM r GROUP BY x), d AS (SELECT k.doc_id, m.root, coalesce(e.links, 0) AS links FROM k JOIN o USING (k) JOIN m ON m.x = o.o LEFT JOIN (SELECT a, count(*) AS links FROM l GROUP BY a) e ON e.a = o.o)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY root) AS group_id, links::BIGINT AS links FROM d QUALIFY count(*) OVER (PARTITION BY root) > 1""",
+    "p3_valley_cover": r"SELECT chunk_id, 0::BIGINT AS first_start, length(text)::BIGINT AS last_end, TRUE AS within FROM ingest_chunks WHERE length(text) > 1000 AND regexp_matches(text, '\S')",
+    "p5_neighbours": """WITH v AS (SELECT doc_id, embedding::DOUBLE[] AS e FROM documents WHERE len(embedding) = 64), u AS (SELECT * FROM v WHERE list_inner_product(e, e) > 0),
+t AS (SELECT a.doc_id AS id, b.doc_id AS neighbour, list_cosine_similarity(a.e, b.e) AS s FROM u a JOIN u b ON a.doc_id <> b.doc_id WHERE a.doc_id % 50 = 0)
+SELECT id, neighbour, round(s, 5) AS similarity FROM t QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(s, 6) DESC, neighbour) <= 5""",
     "p5_found": """WITH v AS (SELECT doc_id, embedding::DOUBLE[] AS e FROM documents WHERE len(embedding) = 64), u AS (SELECT * FROM v WHERE list_inner_product(e, e) > 0),
 t AS (SELECT a.doc_id AS x, b.doc_id AS y, list_cosine_similarity(a.e, b.e) AS s FROM u a JOIN u b ON a.doc_id <> b.doc_id),
 k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY s DESC, y) AS p FROM t) WHERE p <= 5 AND s >= 0.8)
