@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -53,10 +54,10 @@ ID_NUMBER = re.compile(
     r"(?P<id>(?=[A-Za-z0-9.\-/ ]*\d)[A-Z0-9](?:[A-Z0-9]|[ .\-/](?=[A-Z0-9]*\d)|[ .\-](?=[A-Z](?![A-Za-z])))*)"
 )
 _ID_BARE = re.compile(
-    r"(?<![\w.+/-])(?P<id>QQ ?\d{2} ?\d{2} ?\d{2} ?[A-D]|[12] \d{2} \d{2} \d{2} \d{3} \d{3} \d{2}|[12]\d{12} \d{2}|\d{2}\.\d{3}\.\d{3}-[A-Z]|[XYZ]\d{7}[A-Z]|\d{2} \d{6} [A-Z] \d{3})(?!\w)"
+    r"(?<![\w.+/-])(?P<id>(?:QQ|(?!BG|GB|KN|NK|NT|TN|ZZ)[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z]) ?\d{2} ?\d{2} ?\d{2} ?[A-D]|[A-Z]{6}\d{2}[A-EHLMPRST]\d{2}[A-Z]\d{3}[A-Z]|[12] \d{2} \d{2} \d{2} \d{3} \d{3} \d{2}|[12]\d{12} \d{2}|\d{2}\.\d{3}\.\d{3}-[A-Z]|[XYZ]\d{7}[A-Z]|\d{2} \d{6} [A-Z] \d{3})(?!\w)"
 )
 _STREET_EN = r"(?:St(?:reet)?|Ave(?:nue)?|Blvd|Boulevard|Road|Rd|Lane|Ln|Close|Drive|Court|Place|Square|Terrace|Way|Crescent|Gardens)"
-_UP = r"[A-ZÀ-ÖØ-Þ]"
+_UP = r"[A-ZÀ-ÖØ-ÞΑ-ΫА-ЯЁ]"
 _W = r"[\wÀ-ÿ'’-]+"
 ADDRESS = re.compile(
     "(?<![\\w-])(?:"
@@ -69,8 +70,8 @@ ADDRESS = re.compile(
     rf"{_UP}{_W}(?: {_UP}{_W}){{0,3}},? (?:n\.?º ?|N\.?º ?|núm\. ?)?\d{{1,4}}(?:, ?\d{{1,2}}\.?º ?[A-Za-z]?)?"
     ")"
 )
-_TITLE = r"(?:(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herrn?|Frau|Mme|Mlle|M|Sra|Sr|Srta|Dra|Don|Doña)\.?\s)"
-_PART = r"[A-ZÀ-ÖØ-Þ](?:['’][A-ZÀ-ÖØ-Þ])?[\wÀ-ÿ]*(?:-[A-ZÀ-ÖØ-Þ][\wÀ-ÿ]*)*"
+_TITLE = r"(?:(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herrn?|Frau|Mme|Mlle|M|Sra|Sr|Srta|Dra|Don|Doña|Г-н|Г-жа|г-н|г-жа|Д-р|д-р|Κος|Κα|κος|κα)\.?\s)"
+_PART = rf"{_UP}(?:['’]{_UP})?[\wÀ-ÿ]*(?:-{_UP}[\wÀ-ÿ]*)*"
 _LINK = r"(?:(?:van der|van den|van|von der|von|zu|de la|de los|del|de|du|des|di|da|dos|Le|La|VAN DER|VON|DE LA|DEL|DE|DU|LE|LA) )?"
 _FULL = rf"{_PART} (?:{_PART}\.? )?(?:{_PART}\. )?{_LINK}{_PART}"
 _TURNED = rf"{_LINK}{_PART}, {_PART}(?: {_PART}\.)?(?![\w])"
@@ -84,7 +85,7 @@ _OWNED = re.compile(rf'"(?:owner|author|uploaded_by)"\s*:\s*"(?P<name>{_TURNED}|
 _LINKS = {"van", "der", "den", "von", "zu", "de", "la", "los", "del", "du", "des", "di", "da", "dos", "le"}
 _WORD = re.compile(r"[^\W\d_][\w'’]*(?:-[^\W\d_][\w'’]*)*")
 _INITIAL = re.compile(r"\s[A-ZÀ-Þ]\.")
-_MALE, _FEMALE = {"mr", "herr", "herrn", "m", "sr", "don"}, {"mrs", "ms", "miss", "frau", "mme", "mlle", "sra", "srta", "dra", "doña"}
+_MALE, _FEMALE = {"mr", "herr", "herrn", "m", "sr", "don", "г-н", "κος"}, {"mrs", "ms", "miss", "frau", "mme", "mlle", "sra", "srta", "dra", "doña", "г-жа", "κα"}
 
 _ESCAPE = re.compile(r'\\(?:u[0-9a-fA-F]{4}|.)', re.S)
 _SIMPLE = {"n": "\n", "t": " ", "r": "\n", "b": " ", "f": " "}
@@ -317,9 +318,35 @@ def personal_items(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
-# --- Fixed values: invented name parts for surrogates ---
-_GIVEN = {"m": ["Alvin", "Bertil", "Cornel", "Dorian", "Emeric", "Falko", "Gregor", "Hamo"], "f": ["Alba", "Benita", "Corinna", "Daria", "Elvira", "Fiona", "Greta", "Halina"], "": ["Alex", "Bente", "Chris", "Dana", "Eli", "Florin", "Gale", "Hali"]}
-_SYLLABLES = ["ba", "den", "fol", "gar", "hil", "jor", "kan", "lem", "mor", "nel", "pas", "quin", "rov", "sel", "tor", "vas"]
+# --- Fixed values: given names for surrogates by script and gender, and syllables of invented family names and streets ---
+_GIVEN = {
+    "LATIN": {
+        "m": ["Alvin", "Bertil", "Cornel", "Dorian", "Emeric", "Falko", "Gregor", "Hamo", "Ivo", "Jorn", "Kasimir", "Ludo", "Marek", "Nils", "Oskar", "Pavel"],
+        "f": ["Alba", "Benita", "Corinna", "Daria", "Elvira", "Fiona", "Greta", "Halina", "Ines", "Jolanda", "Katja", "Livia", "Marika", "Nadja", "Olga", "Paula"],
+        "": ["Alex", "Bente", "Chris", "Dana", "Eli", "Florin", "Gale", "Hali", "Inge", "Jona", "Kim", "Luca", "Mika", "Noa", "Oli", "Pat"],
+    },
+    "CYRILLIC": {
+        "m": ["Артём", "Богдан", "Виктор", "Герман", "Дамир", "Егор", "Захар", "Игнат"],
+        "f": ["Алина", "Белла", "Вера", "Галина", "Дарья", "Ева", "Зоя", "Инна"],
+        "": ["Саша", "Женя", "Валя", "Слава", "Шура", "Тоша", "Ника", "Паша"],
+    },
+    "GREEK": {
+        "m": ["Άρης", "Βίκτωρ", "Γιάννης", "Δήμος", "Ηλίας", "Θάνος", "Λάμπρος", "Μάνος"],
+        "f": ["Άννα", "Βάσω", "Γιούλα", "Δάφνη", "Ειρήνη", "Ζωή", "Θάλεια", "Λένα"],
+        "": ["Άλκη", "Εύα", "Ίρι", "Κρις", "Λου", "Μαξ", "Νίκι", "Ρένι"],
+    },
+}
+_SYLLABLES = {
+    "LATIN": ["ba", "den", "fol", "gar", "hil", "jor", "kan", "lem", "mor", "nel", "pas", "quin", "rov", "sel", "tor", "vas"],
+    "CYRILLIC": ["ба", "ден", "фол", "гар", "хил", "йор", "кан", "лем", "мор", "нел", "пас", "кин", "ров", "сел", "тор", "вас"],
+    "GREEK": ["βα", "δεν", "φολ", "γαρ", "χιλ", "ιορ", "καν", "λεμ", "μορ", "νελ", "πας", "κιν", "ροβ", "σελ", "τορ", "βας"],
+}
+
+
+def script(text: str) -> str:
+    """The script of the first letter, as its Unicode name begins: ``LATIN``, ``CYRILLIC``, ``GREEK``, ``HEBREW`` and so on."""
+    c = next((c for c in text if c.isalpha()), "a")
+    return unicodedata.name(c, "LATIN").split()[0]
 
 
 class _Stream:
@@ -336,59 +363,130 @@ class _Stream:
         return v % m
 
 
-def surrogate(kind: str, item: str, gender: str, attempt: int, key: bytes) -> str:
-    """A stand-in of the same kind and format: digits for digits, letters for letters, a name for a name."""
+def _word(r: _Stream, like: str, syllables: int) -> str:
+    """An invented word in the script of ``like``; of scripts without syllables above, letters from the same block of the alphabet."""
+    kind = script(like)
+    if kind in _SYLLABLES:
+        new = "".join(_SYLLABLES[kind][r.below(16)] for _ in range(syllables))
+        return new if new != like else new + _SYLLABLES[kind][r.below(16)]
+    out = []
+    for c in like + like[:1] * max(0, syllables - len(like)):
+        block = [d for d in map(chr, range(ord(c) & ~127, (ord(c) & ~127) + 128)) if d.isalpha() and d != c and d.isupper() == c.isupper()]
+        out.append(block[r.below(len(block))] if c.isalpha() and block else c)
+    return "".join(out)
+
+
+def _mailbox(local: str, owner: str) -> str:
+    """The owner's stand-in in the form of the mailbox: initial or whole given name, the same separator, family name first or last."""
+    given, family = (w.replace("-", "") for w in owner.lower().split(" ", 1))
+    parts = re.split(r"[._-]", local)
+    sep = next((c for c in local if c in "._-"), "")
+    if len(parts) < 2:
+        return (given[0] if len(local) < len(family) + 3 else given) + family
+    if len(parts[-1]) == 1 < len(parts[0]):
+        return f"{family}{sep}{given[0]}"
+    return f"{given[0] if len(parts[0]) == 1 else given}{sep}{family}"
+
+
+def surrogate(kind: str, item: str, hint: str, attempt: int, key: bytes) -> str:
+    """A stand-in of the same kind and format: digits for digits, letters for letters, a name for a name of the same script.
+
+    ``hint`` is the gender of a name, and of an e-mail address the stand-in of its owner's name, or empty.
+    """
     r = _Stream(key, kind, item, str(attempt))
     if kind == "name":
-        n = max(1, item.count(" "))
-        pool = _GIVEN[gender]
-        family = "".join(_SYLLABLES[r.below(16)] for _ in range(3 + attempt)).capitalize()
-        return "-".join(pool[r.below(len(pool))] for _ in range(n)) + " " + family
+        *first, last = item.split(" ")
+        writing = script(item)
+        if writing in _GIVEN:
+            pool = [g for g in _GIVEN[writing][hint] if g.casefold() not in first]
+            given = "-".join(pool[r.below(len(pool))] for _ in first or [""])
+        else:
+            given = "-".join(_word(r, w, 2) for w in first or [last])
+        return given + " " + _word(r, last, 3 + attempt).capitalize()
     if kind == "email":
-        local = "".join(_SYLLABLES[r.below(16)] for _ in range(4 + attempt))
-        return f"{local}@example.{('com', 'net', 'org')[r.below(3)]}"
-    keep = 2 if kind == "phone" else 0
+        local = _mailbox(item.split("@")[0], hint) if hint else "".join(_SYLLABLES["LATIN"][r.below(16)] for _ in range(4 + attempt))
+        return f"{local}{r.below(10**min(9, attempt)) + 1 if hint and attempt else ''}@example.{('com', 'net', 'org')[r.below(3)]}"
     out = []
     for i, c in enumerate(item):
-        if c.isdigit() and i >= keep:
-            out.append(str((int(c) + 1 + r.below(9)) % 10 if kind == "address" else r.below(10)))
+        if c.isdigit():
+            # a phone number's leading zeros are its form
+            out.append(c if kind == "phone" and not item[: i + 1].strip("0") else str((int(c) + 1 + r.below(9)) % 10) if c.isdecimal() and (kind == "address" or i < 2) else str(r.below(10)))
         elif c.isalpha() and kind == "id_number":
             out.append(chr(65 + r.below(26)))
         else:
             out.append(c)
-    if kind == "address":
-        fresh = lambda m: m.group() if m.group() in _STREET_WORDS else "".join(_SYLLABLES[r.below(16)] for _ in range(2)) if len(m.group()) > 1 else chr(97 + (ord(m.group()[0]) + r.below(25)) % 26)
-        words = [_LETTERS.sub(fresh, w) for w in "".join(out).split(" ")]
-        return " ".join(w if w in _STREET_LINKS else w.title() for w in words)
-    return "".join(out)
+    if kind != "address":
+        return "".join(out)
+
+    def fresh(m: re.Match) -> str:
+        word = m.group()
+        if word in _STREET_WORDS:
+            return word
+        kept = next((e for e in _STREET_ENDS if word.endswith(e) and len(word) > len(e) + 1), "")
+        return _word(r, word, 2) + kept if len(word) > 1 else chr(97 + (ord(word) + r.below(25)) % 26) if word.isascii() else _word(r, word, 1)
+
+    words = [_LETTERS.sub(fresh, w) for w in "".join(out).split(" ")]
+    return " ".join(w if w in _STREET_LINKS else w.title() for w in words)
 
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 _STREET_LINKS = {"de", "del", "la", "las", "los", "el", "du", "des", "le", "les", "d", "l", "der", "die", "dem", "den", "am", "an", "im", "in", "zum", "zur", "auf", "of", "the"}
-#: Kept in stand-ins of addresses: kinds of streets, parts of a house, and links.
+#: Kept in stand-ins of addresses: kinds of streets, parts of a house, and links; and the ends that tell the kind of a street.
 _STREET_WORDS = _STREET_LINKS | {
     *("street", "st", "close", "avenue", "ave", "road", "rd", "lane", "ln", "drive", "dr", "court", "ct", "place", "pl", "square", "way", "terrace", "boulevard", "blvd", "bd", "flat", "apt", "apartment", "suite", "unit", "floor"),
     *("straße", "strasse", "str", "weg", "platz", "gasse", "allee", "ring", "ufer", "damm", "haus", "rue", "av", "chemin", "impasse", "allée", "quai", "bis", "ter", "bât", "appt", "étage"),
     *("calle", "c", "avenida", "avda", "paseo", "plaza", "pza", "camino", "carretera", "piso", "n", "nº", "º", "ª"),
 }
+_STREET_ENDS = ("straße", "strasse", "str", "weg", "gasse", "allee", "platz", "ufer", "damm", "ring")
+
+
+def hinted(items: DataFrame) -> DataFrame:
+    """``(kind, item, hint)`` of the names: the gender most often read before the name, else the one most often read before its given name."""
+    names = items.where("kind = 'name'").select("item", "gender", F.substring_index("item", " ", 1).alias("given"))
+    most = F.max_by("gender", F.struct("n", "gender"))
+    by_given = names.where("gender != ''").groupBy("given", "gender").agg(F.count(F.lit(1)).alias("n")).groupBy("given").agg(most.alias("usual"))
+    own = names.groupBy("item", "given", "gender").agg(F.count(F.lit(1)).alias("n")).groupBy("item", "given").agg(F.max_by("gender", F.struct(F.col("gender") != "", "n", "gender")).alias("gender"))
+    return own.join(by_given, "given", "left").select(F.lit("name").alias("kind"), "item", F.when(F.col("gender") != "", F.col("gender")).otherwise(F.coalesce("usual", F.lit(""))).alias("hint"))
+
+
+def owners(items: DataFrame, stand_ins: DataFrame) -> DataFrame:
+    """``(item, hint)``: of the e-mail addresses whose mailbox holds a family name of the same document, the stand-in of that name."""
+    plain = lambda c: F.regexp_replace(F.translate(F.lower(c), "äöüßáàâéèêëíìîïóòôúùûñç", "aousaaaeeeeiiiiooouuunc"), "[^a-z]+", "")
+    mail = items.where("kind = 'email'").select("doc_id", "item", F.explode(F.split(F.substring_index("item", "@", 1), "[^\\p{L}]+")).alias("part")).where("length(part) > 2")
+    # a mailbox without separators holds the family name behind an initial
+    mail = mail.select("doc_id", "item", F.explode(F.array(plain(F.col("part")), plain(F.expr("substring(part, 2)")))).alias("part"))
+    names = items.where("kind = 'name'").select("doc_id", F.col("item").alias("name"), plain(F.substring_index("item", " ", -1)).alias("part")).where("length(part) > 2").distinct()
+    # of several of the family, the one whose given name begins as the mailbox does
+    other = plain(F.substring("item", 1, 1)) != plain(F.substring("name", 1, 1))
+    owned = mail.join(names, ["doc_id", "part"]).groupBy("item").agg(F.min_by("name", F.struct(other, "name")).alias("name"))
+    return owned.join(stand_ins.where("kind = 'name'").select(F.col("item").alias("name"), F.col("stand_in").alias("hint")), "name").select("item", "hint")
 
 
 def surrogates(items: DataFrame, key: bytes, rounds: int = 12) -> DataFrame:
-    """``(kind, item, stand_in)``: one stand-in an item, the same for all its mentions, no two of a kind alike and none an item itself.
+    """``(kind, item, stand_in)`` of ``(doc_id, kind, item, gender)``: one stand-in an item, the same for all its mentions, no two of a kind alike and none an item itself.
 
-    Stand-ins that collide are drawn again with the next attempt, all but the one of the least item, and so are those that are
+    Names come first, with the gender of ``hinted``; then all else, where an e-mail address follows the stand-in of its owner.
+    """
+    if "doc_id" not in items.columns:
+        items = items.withColumn("doc_id", F.lit(0))
+    names = _drawn(hinted(items), items, key, rounds)
+    rest = items.where("kind != 'name'").select("kind", "item").distinct().join(owners(items, names).withColumn("kind", F.lit("email")), ["kind", "item"], "left")
+    return names.unionByName(_drawn(rest.select("kind", "item", F.coalesce("hint", F.lit("")).alias("hint")), items, key, rounds))
+
+
+def _drawn(hinted_items: DataFrame, items: DataFrame, key: bytes, rounds: int) -> DataFrame:
+    """Stand-ins that collide are drawn again with the next attempt, all but the one of the least item, and so are those that are
     an item of that kind, until none do.
     """
-    spark = items.sparkSession
 
     def draw(batches):
         for b in batches:
             kinds, names, genders, tries = (b.column(i).to_pylist() for i in range(4))
             out = [surrogate(k, i, g, t, key) for k, i, g, t in zip(kinds, names, genders, tries)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=["kind", "item", "gender", "attempt", "stand_in"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=["kind", "item", "hint", "attempt", "stand_in"])
 
-    schema = "kind string, item string, gender string, attempt int, stand_in string"
-    drawn = staged(items.groupBy("kind", "item").agg(F.max("gender").alias("gender")).withColumn("attempt", F.lit(0)).mapInArrow(draw, schema), "surrogates")
+    schema = "kind string, item string, hint string, attempt int, stand_in string"
+    drawn = staged(hinted_items.withColumn("attempt", F.lit(0)).mapInArrow(draw, schema), "surrogates")
     order = Window.partitionBy("kind", "stand_in").orderBy("attempt", "item")
     real = items.select(F.col("kind").alias("_kind"), F.col("item").alias("_item")).distinct()
     as_item = F.udf(canonical, "string")
@@ -404,7 +502,7 @@ def surrogates(items: DataFrame, key: bytes, rounds: int = 12) -> DataFrame:
         again = ranked.where("place > 1")
         if again.isEmpty():
             return drawn.select("kind", "item", "stand_in")
-        fresh = again.select("kind", "item", "gender", (F.col("attempt") + 1).alias("attempt")).mapInArrow(draw, schema)
+        fresh = again.select("kind", "item", "hint", (F.col("attempt") + 1).alias("attempt")).mapInArrow(draw, schema)
         drawn = staged(ranked.where("place = 1").drop("place").unionByName(fresh), "surrogates")
     # what still collides after that many attempts is told apart by its own hash
     return placed(drawn).select("kind", "item", F.when(F.col("place") == 1, F.col("stand_in")).otherwise(F.concat("stand_in", F.lit("-"), F.sha2("item", 256))).alias("stand_in"))
@@ -423,9 +521,32 @@ def dressed(kind: str, stand_in: str, original: str) -> str:
     return stand_in.upper() if kind != "email" and original.isupper() else stand_in
 
 
+_TITLED = re.compile(rf"(?<!\w){_TITLE}(?P<name>{_LINK}{_PART})(?![\w])")
+
+
+def _tied(raw: str, marks: list[dict], taken: list[tuple[int, int]]) -> list[tuple[int, int, str, str]]:
+    """Spans of family names behind a title whose whole name stands in the same document, with its stand-in's family name."""
+    families = {m["item"].rsplit(" ", 1)[-1]: m["stand_in"].rsplit(" ", 1)[-1] for m in marks if m["kind"] == "name"}
+    out = []
+    for m in _TITLED.finditer(raw) if families else ():
+        a, z = m.span("name")
+        family = families.get(name_parts("x " + m.group("name"))[1])
+        if family and not any(x < z and a < y for x, y in taken):
+            out.append((a, z, "name", family))
+    return out
+
+
+def kept_words(items: DataFrame, table: DataFrame) -> DataFrame:
+    """``(kind, kept)``: of how many items the stand-in holds a word or number of three characters or more of the item itself, but for kinds of streets."""
+    words = lambda c: F.filter(F.split(F.lower(c), "[^\\p{L}\\p{N}]+"), lambda w: (F.length(w) > 2) & ~w.isin(*sorted(_STREET_WORDS), "example", "com", "net", "org"))
+    both = items.select("kind", "item").distinct().join(table, ["kind", "item"])
+    return both.groupBy("kind").agg(F.count_if(F.arrays_overlap(words(F.col("item")), words(F.col("stand_in")))).alias("kept"))
+
+
 def redacted(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text", metadata_col: str = "metadata_json") -> DataFrame:
     """``docs`` with each item in both fields replaced by ``[KIND:stand-in]``, all else unchanged.
 
+    A family name alone behind a title is replaced too where the whole name stands in the same document.
     Ids must be unique and not null for a document's items to find it; others come out as they are where they have no items.
     Stand-ins hold no quotes, escapes or line ends, so JSON stays as valid as it was.
     """
@@ -434,7 +555,7 @@ def redacted(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str
     marks = (
         items.join(table, ["kind", "item"])
         .groupBy("doc_id")
-        .agg(F.collect_list(F.struct("field", "start_pos", "end_pos", "kind", "stand_in")).alias("_marks"))
+        .agg(F.collect_list(F.struct("field", "start_pos", "end_pos", "kind", "item", "stand_in")).alias("_marks"))
     )
     joined = docs.join(marks.withColumnRenamed("doc_id", "_marked"), docs[id_col].cast("long") == F.col("_marked"), "left")
 
@@ -449,9 +570,11 @@ def redacted(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str
                 for n, m in enumerate(marks):
                     if m and values[n]:
                         v = values[n]
-                        for x in sorted((x for x in m if x["field"] == f), key=lambda x: -x["start_pos"]):
-                            a, z = x["start_pos"], x["end_pos"]
-                            v = f"{v[:a]}[{x['kind'].upper()}:{dressed(x['kind'], x['stand_in'], v[a:z])}]{v[z:]}"
+                        own = [x for x in m if x["field"] == f]
+                        spans = [(x["start_pos"], x["end_pos"], x["kind"], dressed(x["kind"], x["stand_in"], v[x["start_pos"] : x["end_pos"]])) for x in own]
+                        spans += _tied(v, m, [x[:2] for x in spans])
+                        for a, z, kind, new in sorted(spans, reverse=True):
+                            v = f"{v[:a]}[{kind.upper()}:{new}]{v[z:]}"
                         values[n] = v
                 cols[i] = pa.array(values, pa.string())
             keep = [i for i, c in enumerate(names) if c != "_marks"]

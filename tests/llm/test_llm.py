@@ -166,6 +166,27 @@ def test_stand_ins_of_addresses_keep_no_name_or_number(spark):
     assert len(got) == 400 and not {r.stand_in for r in got} & {r.item for r in got}
 
 
+def test_stand_ins_follow_script_gender_and_owner(spark):
+    rows = [
+        (1, "Frau Petra Holm (petra.holm@firm.example) called. Frau Holm will call again; Holm Works will not.", None),
+        (2, "Dr. Petra Adler, p.adler@firm.example, and Herr Jonas Adler", None),
+        (3, "г-н Иван Петров", None),
+        (4, "Patient: Petra Linde", '{"owner": "Petra Linde"}'),
+    ]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, metadata_json string")
+    got = {r.doc_id: r.text for r in pii.redacted(d, b"k").collect()}
+    given, family = re.search(r"\[NAME:(\w+) (\w+)\] \(", got[1]).groups()
+    assert given in pii._GIVEN["LATIN"]["f"] and f"[EMAIL:{given.lower()}.{family.lower()}@example." in got[1]
+    assert f"Frau [NAME:{family}] will" in got[1] and "Holm Works" in got[1]
+    # no title tells her gender here, her given name does; of two Adlers the mailbox is hers by its initial
+    assert re.search(r"Patient: \[NAME:(\w+) ", got[4]).group(1) in pii._GIVEN["LATIN"]["f"]
+    given, family = re.search(r"\[NAME:(\w+) (\w+)\], \[EMAIL", got[2]).groups()
+    assert f"[EMAIL:{given[0].lower()}.{family.lower()}@example" in got[2]
+    assert re.search(r"\[NAME:([А-Яа-яё]+) [А-Яа-яё]+\]$", got[3]).group(1) in pii._GIVEN["CYRILLIC"]["m"]
+    assert pii.surrogate("phone", "0301234567", "", 0, b"k")[:2] not in ("03",) and pii.script("דוד") == "HEBREW"
+    assert not re.search("דוד|כהן", pii.surrogate("name", "דוד כהן", "", 0, b"k"))
+
+
 def test_stand_ins_never_collide(spark):
     items = spark.range(3000).select(F.lit("phone").alias("kind"), F.concat(F.lit("12"), F.lpad("id", 4, "0")).alias("item"), F.lit("").alias("gender"))
     got = pii.surrogates(items, b"k")
