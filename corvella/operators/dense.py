@@ -18,8 +18,8 @@ def dense_topk(queries: DataFrame, docs: DataFrame, k: int, dim: int = 64, block
     """``(qid, doc_id, score, place)`` of the ``k`` documents of highest inner product for each query ``(qid, vector)``.
 
     Vectors that are null, of another length or hold nulls take no part.  Each task multiplies its documents with blocks of the
-    queries and passes on its own best ``k``, so what is shuffled is ``k`` rows a query and task.  Query sets above ``most_bytes`` are cut
-    into slices by their ids, each a pass over the documents.  ``k`` of 0 gives no rows.
+    queries and passes on its own best ``k``, so what is shuffled is ``k`` rows a query and task; there are four tasks a core at most.  Query sets
+    of which the vectors and best rows take above ``most_bytes`` in a task are cut into slices by their ids, each a pass over the documents.  ``k`` of 0 gives no rows.
     """
     spark = docs.sparkSession
     schema = "qid bigint, doc_id bigint, score double"
@@ -27,7 +27,8 @@ def dense_topk(queries: DataFrame, docs: DataFrame, k: int, dim: int = 64, block
         return spark.createDataFrame([], schema + ", place bigint")
     q = queries.where((F.size("vector") == dim) & ~F.exists("vector", lambda x: x.isNull())).select("qid", "vector")
     d = docs.where((F.size("embedding") == dim) & ~F.exists("embedding", lambda x: x.isNull())).select("doc_id", "embedding")
-    slices = q.count() * dim * 8 // most_bytes + 1
+    d = d.coalesce(4 * spark.sparkContext.defaultParallelism)
+    slices = q.count() * (dim * 8 + k * 64) // most_bytes + 1
     out = None
     for s in range(slices):
         part = q if slices == 1 else q.where(F.pmod(F.xxhash64("qid"), F.lit(slices)) == s)

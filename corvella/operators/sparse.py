@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,37 +51,61 @@ def vocabulary(docs: DataFrame) -> DataFrame:
     return t.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("words"))
 
 
-def bm25_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
+@dataclass
+class SparseIndex:
+    """What BM25 needs of a collection: ``postings`` ``(doc_id, term, tf, dl)``, ``terms`` ``(term, df)`` and three numbers.
+
+    ``mean_idf`` is over all terms, negative weights included.  A store keeps all of it; ``indexed`` makes one for a table.
+    """
+
+    postings: DataFrame
+    terms: DataFrame
+    documents: int
+    words: int
+    mean_idf: float
+
+
+def mean_idf(terms: DataFrame, documents: int) -> float:
+    """The mean weight of all terms ``(term, df)`` before the floor."""
+    return terms.agg(F.avg(F.log(documents - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))).first()[0] or 0.0
+
+
+def indexed(docs: DataFrame, wanted: DataFrame | None = None) -> SparseIndex:
+    """An index of ``docs``; statistics are counted in one pass and written to the shared folder, so none of it is counted again.
+
+    With ``wanted`` words ``(term)``, which must be few enough for every task, the words of a text are filtered to these as they come out of it.
+    """
+    words = staged(vocabulary(docs), "vocabulary")
+    whole = words.where("term is null").first()
+    terms = words.where("term is not null").select("term", "df")
+    n = whole["df"] if whole else 0
+    t = doc_terms(docs).select("doc_id", "dl", F.explode("terms").alias("term"))
+    t = t if wanted is None else t.join(F.broadcast(wanted), "term", "left_semi")
+    tf = t.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    return SparseIndex(tf, terms, n, (whole["words"] or 0) if whole else 0, mean_idf(terms, n))
+
+
+def bm25_scores(queries: DataFrame, docs: DataFrame | SparseIndex, most_asked: int = 1_000_000) -> DataFrame:
     """``(qid, doc_id, score)`` of every document with a term of query ``(qid, text)``.
 
-    A query's repeated words count repeatedly.  Statistics are those of all ``docs``, counted in one pass and written to the shared folder;
-    in the second pass words are filtered to the queries' terms before they are counted, so only matching words are shuffled.  Null texts are documents without words; an empty collection or
-    query has no scores.
+    A query's repeated words count repeatedly.  Statistics are those of all ``docs``.  The asked words go to every task
+    while they are at most ``most_asked`` (about 50 MB), so of the postings only those of asked words are shuffled, once; beyond that they meet the postings in a shuffle.  Null texts are documents
+    without words; an empty collection or query has no scores.
     """
     asked = queries.select("qid", F.explode(tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("times"))
+    asked = staged(asked, "asked")
+    few = asked.count() <= most_asked
+    everywhere = F.broadcast if few else (lambda d: d)
     wanted = asked.select("term").distinct()
-    tf = (
-        doc_terms(docs)
-        .select("doc_id", "dl", F.explode("terms").alias("term"))
-        .join(wanted, "term", "left_semi")
-        .groupBy("doc_id", "term")
-        .agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-    )
-    words = staged(vocabulary(docs), "vocabulary")
-    corpus = words.where("term is null").select(F.col("df").alias("n"), (F.col("words") / F.col("df")).alias("avgdl"))
-    idf = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    terms = words.where("term is not null").select("term", "df").join(F.broadcast(corpus)).select("term", "df", idf.alias("idf"))
-    weights = floored(terms).join(wanted, "term", "left_semi")
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return (
-        tf.join(F.broadcast(corpus.select("avgdl")))
-        .join(weights.select("term", "idf"), "term")
-        .join(asked, "term")
-        .groupBy("qid", "doc_id")
-        .agg(F.sum(part).alias("score"))
-    )
-
-
-def bm25_topk(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    index = docs if isinstance(docs, SparseIndex) else indexed(docs, wanted if few else None)
+    df = F.col("df")
+    idf = F.log(index.documents - df + 0.5) - F.log(df + 0.5)
+    weights = index.terms.join(everywhere(wanted), "term", "left_semi").select("term", F.when(idf < 0, EPSILON * index.mean_idf).otherwise(idf).alias("idf"))
+    avgdl = index.words / index.documents if index.documents and index.words else 1.0
+    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
+    return index.postings.join(everywhere(asked.join(weights, "term")), "term").groupBy("qid", "doc_id").agg(F.sum(part).alias("score"))
+
+
+def bm25_topk(queries: DataFrame, docs: DataFrame | SparseIndex, k: int) -> DataFrame:
     """``(qid, doc_id, score, place)`` of the ``k`` best documents; only scores above 0 remain, taken after the cut."""
     return ranked(bm25_scores(queries, docs), k).where("score > 0")

@@ -13,7 +13,7 @@ from corvella.operators.dense import dense_topk, ranked
 from corvella.operators.filters import filtered
 from corvella.operators.fusion import linear_fusion
 from corvella.operators.rank import cross_rerank, recency, reflection_rerank
-from corvella.operators.sparse import bm25_topk
+from corvella.operators.sparse import SparseIndex, bm25_topk
 
 
 def hybrid_search(
@@ -29,12 +29,15 @@ def hybrid_search(
     reflection: bool = False,
     prefilter: bool = False,
     dim: int = 64,
+    index: SparseIndex | None = None,
+    most_candidates: int = 1_000_000,
 ) -> DataFrame:
     """``(qid, doc_id, score, place, text, metadata_json, namespace, modality, created_at)`` for queries ``(qid, text, vector)``.
 
     Each side retrieves ``16 * top_k``, their linear fusion is cut to ``4 * top_k``, and only then do namespace and filters apply, so fewer
     than ``top_k`` rows may remain; with ``prefilter`` both reach the scan instead.  Then follow recency, the cross scorer, the
-    reflection reranker, and the cut to ``top_k``.  Statistics are those of all documents searched.
+    reflection reranker, and the cut to ``top_k``.  Statistics are those of all documents searched; ``index`` brings them and the postings of ``docs`` if they
+    are kept somewhere, and is not used with ``prefilter``.  The candidates go to the documents, not these to them, while they are at most ``most_candidates``.
     """
     if not 0 <= alpha <= 1 or math.isnan(alpha):
         raise AlphaError(alpha)
@@ -43,8 +46,10 @@ def hybrid_search(
         base = base.where(F.col("namespace") == namespace) if namespace else base
         base = filtered(base, filters)
     wide = 16 * top_k
-    fused = linear_fusion(dense_topk(queries.select("qid", "vector"), base, wide, dim), bm25_topk(queries.select("qid", "text"), base, wide), alpha)
+    fused = linear_fusion(dense_topk(queries.select("qid", "vector"), base, wide, dim), bm25_topk(queries.select("qid", "text"), base if index is None or prefilter else index, wide), alpha)
     fused = fused.where(F.col("place") <= 4 * top_k).select("qid", "doc_id", "score")
+    if queries.count() * 4 * top_k <= most_candidates:
+        fused = F.broadcast(fused)
     rows = fused.join(base.select("doc_id", "text", "metadata_json", "namespace", "modality", seconds(F.col("created_at")).alias("created_at")), "doc_id")
     if not prefilter:
         rows = rows.where(F.col("namespace") == namespace) if namespace else rows
