@@ -48,7 +48,10 @@ def main(args: list[str] | None = None, spark=None, out=sys.stdout) -> None:
         elif a.command == "stats":
             print(json.dumps(s.stats().first().asDict(), indent=2), file=out)
         elif a.command == "export":
-            s.export(a.target, a.namespace)
+            if a.target == "-":
+                s.export_document(out, a.namespace)
+            else:
+                print(s.export(a.target, a.namespace), "documents", file=out)
         else:
             from corvella.server import serve
 

@@ -24,8 +24,20 @@ class AlphaError(StoreError):
         super().__init__(f"alpha must be within 0 and 1, not {alpha}")
 
 
-class KeyFormError(StoreError):
-    """An encryption key that cannot open the store."""
+class KeyFormError(StoreError, ValueError):
+    """An encryption key that is too short or cannot open the store."""
+
+
+class ConflictError(StoreError):
+    """Another writer made the version first; the change may be tried again."""
+
+    def __init__(self, version: int):
+        super().__init__(f"version {version} was written by another")
+
+
+class DimensionError(StoreError, ValueError):
+    def __init__(self, got: int, wanted: int):
+        super().__init__(f"vectors of length {got}, not {wanted}")
 
 
 class ProtectedError(StoreError):

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvella.functions.text import tokens
@@ -85,7 +86,7 @@ def indexed(docs: DataFrame, wanted: DataFrame | None = None) -> SparseIndex:
     return SparseIndex(tf, terms, n, (whole["words"] or 0) if whole else 0, mean_idf(terms, n))
 
 
-def bm25_scores(queries: DataFrame, docs: DataFrame | SparseIndex, most_asked: int = 1_000_000) -> DataFrame:
+def bm25_scores(queries: DataFrame, docs: DataFrame | SparseIndex, most_asked: int = 1_000_000, written: Callable[[Column], Column] | None = None) -> DataFrame:
     """``(qid, doc_id, score)`` of every document with a term of query ``(qid, text)``.
 
     A query's repeated words count repeatedly.  Statistics are those of all ``docs``.  The asked words go to every task
@@ -93,7 +94,7 @@ def bm25_scores(queries: DataFrame, docs: DataFrame | SparseIndex, most_asked: i
     without words; an empty collection or query has no scores.
     """
     asked = queries.select("qid", F.explode(tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("times"))
-    asked = staged(asked, "asked")
+    asked = staged(asked if written is None else asked.withColumn("term", written(F.col("term"))), "asked")
     few = asked.count() <= most_asked
     everywhere = F.broadcast if few else (lambda d: d)
     wanted = asked.select("term").distinct()
@@ -106,6 +107,9 @@ def bm25_scores(queries: DataFrame, docs: DataFrame | SparseIndex, most_asked: i
     return index.postings.join(everywhere(asked.join(weights, "term")), "term").groupBy("qid", "doc_id").agg(F.sum(part).alias("score"))
 
 
-def bm25_topk(queries: DataFrame, docs: DataFrame | SparseIndex, k: int) -> DataFrame:
-    """``(qid, doc_id, score, place)`` of the ``k`` best documents; only scores above 0 remain, taken after the cut."""
-    return ranked(bm25_scores(queries, docs), k).where("score > 0")
+def bm25_topk(queries: DataFrame, docs: DataFrame | SparseIndex, k: int, written: Callable[[Column], Column] | None = None) -> DataFrame:
+    """``(qid, doc_id, score, place)`` of the ``k`` best documents; only scores above 0 remain, taken after the cut.
+
+    ``written`` gives a term as an index holds it.
+    """
+    return ranked(bm25_scores(queries, docs, written=written), k).where("score > 0")

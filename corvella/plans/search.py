@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvella.errors import AlphaError
@@ -30,6 +31,7 @@ def hybrid_search(
     prefilter: bool = False,
     dim: int = 64,
     index: SparseIndex | None = None,
+    written: Callable[[Column], Column] | None = None,
     most_candidates: int = 1_000_000,
 ) -> DataFrame:
     """``(qid, doc_id, score, place, text, metadata_json, namespace, modality, created_at)`` for queries ``(qid, text, vector)``.
@@ -37,7 +39,7 @@ def hybrid_search(
     Each side retrieves ``16 * top_k``, their linear fusion is cut to ``4 * top_k``, and only then do namespace and filters apply, so fewer
     than ``top_k`` rows may remain; with ``prefilter`` both reach the scan instead.  Then follow recency, the cross scorer, the
     reflection reranker, and the cut to ``top_k``.  Statistics are those of all documents searched; ``index`` brings them and the postings of ``docs`` if they
-    are kept somewhere, and is not used with ``prefilter``.  The candidates go to the documents, not these to them, while they are at most ``most_candidates``.
+    are kept somewhere (``written`` gives a term as they hold it), and is not used with ``prefilter``.  The candidates go to the documents, not these to them, while they are at most ``most_candidates``.
     """
     if not 0 <= alpha <= 1 or math.isnan(alpha):
         raise AlphaError(alpha)
@@ -46,7 +48,9 @@ def hybrid_search(
         base = base.where(F.col("namespace") == namespace) if namespace else base
         base = filtered(base, filters)
     wide = 16 * top_k
-    fused = linear_fusion(dense_topk(queries.select("qid", "vector"), base, wide, dim), bm25_topk(queries.select("qid", "text"), base if index is None or prefilter else index, wide), alpha)
+    asked = queries.select("qid", "text")
+    sparse = bm25_topk(asked, base, wide) if index is None or prefilter else bm25_topk(asked, index, wide, written)
+    fused = linear_fusion(dense_topk(queries.select("qid", "vector"), base, wide, dim), sparse, alpha)
     fused = fused.where(F.col("place") <= 4 * top_k).select("qid", "doc_id", "score")
     if queries.count() * 4 * top_k <= most_candidates:
         fused = F.broadcast(fused)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import time
-import warnings
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvella.errors import DeniedError
+from corvella.errors import DeniedError, KeyFormError
 
 #: What each role may do.
 ROLES = {
@@ -51,9 +52,7 @@ class Access:
 def checked_key(key: str | None) -> str | None:
     """An encryption key of eight characters or more, or none."""
     if key is not None and len(key) < 8:
-        raise ValueError("an encryption key needs eight characters")
-    if key is not None:
-        warnings.warn("columns are encrypted with aes_encrypt; files are not", stacklevel=2)
+        raise KeyFormError("an encryption key needs eight characters")
     return key
 
 
@@ -68,15 +67,22 @@ def key_roles(keys: DataFrame) -> DataFrame:
 
 
 class AuditLog:
-    """JSON lines in a folder, one file an event."""
+    """JSON lines in a folder, one file an event, written without a job; ``private`` leaves out the metadata."""
 
-    def __init__(self, spark: SparkSession, path: str | None):
-        self.spark, self.path, self.enabled = spark, path, path is not None
+    def __init__(self, spark: SparkSession, path: str | None, private: bool = False):
+        self.spark, self.path, self.private = spark, path, private
+
+    @property
+    def enabled(self) -> bool:
+        return self.path is not None
 
     def log(self, actor: str, operation: str, doc_id: str | None = None, namespace: str | None = None, metadata: str | None = None) -> None:
         if self.enabled:
-            row = (time.time(), actor, operation, doc_id, namespace, metadata)
-            self.spark.createDataFrame([row], AUDIT_SCHEMA).coalesce(1).write.mode("append").json(self.path)
+            row = {"timestamp": time.time(), "actor": actor, "operation": operation, "doc_id": doc_id, "namespace": namespace, "metadata": None if self.private else metadata}
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{time.time_ns()}-{uuid.uuid4().hex[:8]}.json")
+            out = p.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(p, False)
+            out.write(bytearray(json.dumps(row).encode() + b"\n"))
+            out.close()
 
     def read(self, **filters) -> DataFrame:
         return audit_events(self.spark.read.schema(AUDIT_SCHEMA).option("mode", "DROPMALFORMED").json(self.path), **filters)

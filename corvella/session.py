@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,13 +40,29 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def staged(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, and survives lost executors."""
+    return _staged(df, what)[0]
+
+
+def _staged(df: DataFrame, what: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
-def fold(df: DataFrame, per: int, least: int = 0) -> int:
-    """Partitions for a table of ``per`` rows each, ``least`` or the session's shuffle partitions at the least."""
-    spark = df.sparkSession
-    return max(least or int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // per))
+@contextmanager
+def scratch(spark: SparkSession):
+    """``staged`` for tables that nothing reads any more afterwards; their folders are deleted then."""
+    paths: list[str] = []
+
+    def keep(df: DataFrame, what: str) -> DataFrame:
+        out, path = _staged(df, what)
+        paths.append(path)
+        return out
+
+    try:
+        yield keep
+    finally:
+        for path in paths:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 
 from corvella.errors import FileIngestError
 from corvella.functions.chunking import cut_points
-from corvella.functions.text import extension
+from corvella.functions.embed import Embedder, loaded
+from corvella.functions.text import IMAGES, SOUNDS, extension
 
 #: Extensions that have a reader.
 SUPPORTED = (".docx", ".htm", ".html", ".md", ".pdf", ".txt")
@@ -125,16 +126,46 @@ def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, chunk_index bigint, char_start bigint, char_end bigint, text string")
 
 
-def transcribed(files: DataFrame, transcribe: Callable[[bytes], str]) -> DataFrame:
-    """``(path, text)`` of sound files by a model that is given."""
+def _media(spark: SparkSession, path: str, kinds: tuple[str, ...], what: str) -> DataFrame:
+    """``(path, ext, content)`` of the files below ``path`` of those extensions; a missing path, or a single file of another kind, is an error."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        raise FileNotFoundError(path)
+    if fs.getFileStatus(p).isFile() and not path.lower().endswith(tuple(f".{k}" for k in kinds)):
+        raise FileIngestError(path, f"not {what} of a known format: {', '.join(kinds)}")
+    return _listed(spark, path).where(F.col("ext").isin(*(f".{k}" for k in kinds)))
+
+
+def read_images(spark: SparkSession, path: str) -> DataFrame:
+    return _media(spark, path, IMAGES, "an image")
+
+
+def read_sounds(spark: SparkSession, path: str) -> DataFrame:
+    return _media(spark, path, SOUNDS, "a sound")
+
+
+def embedded(files: DataFrame, embed: Embedder) -> DataFrame:
+    """``(path, embedding)`` of the contents, by a model that takes bytes, such as one of images."""
+    return files.select("path", embed(F.col("content")).alias("embedding"))
+
+
+def transcribed(files: DataFrame, transcribe: Callable[[list[bytes]], list[str]] | None = None, load: Callable[[], Callable[[list[bytes]], list[str]]] | None = None, name: str = "transcriber") -> DataFrame:
+    """``(path, text)`` of sound files: by a function of a batch, or by the model ``name`` that ``load`` brings into a worker once."""
 
     @F.pandas_udf(T.StringType())
     def run(data: pd.Series) -> pd.Series:
-        return data.map(transcribe)
+        model = transcribe if load is None else loaded(name, load)
+        return pd.Series(list(model(data.tolist())), dtype=object)
 
     return files.select("path", run("content").alias("text"))
 
 
+def transcribed_and_embedded(files: DataFrame, embed: Embedder, **model) -> DataFrame:
+    """``(path, text, embedding)`` of sound files."""
+    return transcribed(files, **model).select("path", "text", embed(F.col("text")).alias("embedding"))
+
+
 def file_digests(files: DataFrame) -> DataFrame:
-    """``(path, sha256)``."""
+    """``(path, sha256)`` of the contents."""
     return files.select("path", F.sha2("content", 256).alias("sha256"))

@@ -23,5 +23,5 @@ def add_stream(store: Store, stream: DataFrame, checkpoint: str, once: bool = Tr
 
 def operation_counts(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """``(window_start, operation, events)``: each ``audit_id`` once, later than ``late`` dropped by a stream; also for a finished table."""
-    unique = events.withWatermark("ts", late).dropDuplicates(["audit_id", "ts"]) if events.isStreaming else events.dropDuplicates(["audit_id"])
+    unique = events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["audit_id"]) if events.isStreaming else events.dropDuplicates(["audit_id"])
     return unique.groupBy(F.window("ts", window), F.lower("operation").alias("operation")).agg(F.count(F.lit(1)).alias("events")).select(F.col("window.start").alias("window_start"), "operation", "events")

@@ -1,8 +1,15 @@
+import io
+import json
+from pathlib import Path
+
 import pytest
 
 from corvella import errors
 from corvella.operators.eager import eager_join_aggregate, large_groups
+from corvella.operators.sparse import bm25_scores
 from corvella.security import Access, AuditLog, checked_key
+from corvella.session import scratch_dir
+from corvella.sources.cloud import credentials, upload
 from corvella.sources.store import Store, decrypted, encrypted
 from corvella.streaming.live import add_stream, operation_counts
 
@@ -35,6 +42,71 @@ def test_store_round_trip(spark, tmp_path):
         reader.add("no")
 
 
+def test_encryption(spark, tmp_path):
+    path = tmp_path / "v"
+    s = Store(spark, str(path), encryption_key="a long enough key")
+    s.add("insulin for diabetes", {"ward": "seven"}, "ward", "d1")
+    s.add("contract law for insulin", {}, "default", "d2")
+    s.add("nothing here", {}, "default", "d3")
+    raw = b"".join(f.read_bytes() for f in path.rglob("*") if f.is_file())
+    assert b"insulin" not in raw and b"diabetes" not in raw and b"seven" not in raw
+    stored = spark.read.option("recursiveFileLookup", "true").parquet(str(next(path.glob("documents-*"))))
+    assert "insulin" not in str(stored.collect())
+    assert stored.schema["embedding"].dataType.simpleString() == "string"
+    again = Store(spark, str(path), encryption_key="a long enough key")
+    assert again.get("d1")["text"] == "insulin for diabetes" and abs(sum(x * x for x in again.get("d1")["embedding"]) - 1) < 1e-6
+    assert again.search("diabetes", top_k=1).first().doc_id == "d1" and again.stats().first().encrypted
+    for key in (None, "another long key"):
+        with pytest.raises(errors.KeyFormError):
+            Store(spark, str(path), encryption_key=key)
+    Store(spark, str(tmp_path / "plain"))
+    with pytest.raises(errors.KeyFormError):
+        Store(spark, str(tmp_path / "plain"), encryption_key="a long enough key")
+    sums = upload(s, "file", "", str(tmp_path / "cloud")[1:]).collect()
+    assert len(sums) > 5 and all(len(r.sha256) == 64 for r in sums)
+    with pytest.raises(errors.StoreError):
+        upload(Store(spark, str(tmp_path / "plain")), "file", "", "x")
+    with pytest.raises(ValueError):
+        upload(s, "ftp", "x")
+    assert credentials("s3", {"fs.s3a.access.key": "a"}, {"AWS_SECRET_ACCESS_KEY": "b"}) == {"fs.s3a.access.key": "a", "fs.s3a.secret.key": "b"}
+
+
+def test_versions_and_stored_postings(spark, tmp_path):
+    path = tmp_path / "v"
+    s = Store(spark, str(path))
+    s.add_batch(["insulin dose", "insulin insulin pump", "contract law"])
+    s.add("law of insulin", doc_id="d4")
+    before = {f: f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+    s.delete("d4")
+    assert all(f.exists() and f.stat().st_mtime_ns == t for f, t in before.items())
+
+    def same(store):
+        docs = store.documents.withColumnRenamed("doc_id", "name").withColumnRenamed("ord", "doc_id")
+        q = spark.createDataFrame([(0, "insulin law pump")], "qid bigint, text string")
+        kept, fresh = (sorted((r.doc_id, round(r.score, 9)) for r in bm25_scores(q, x).collect()) for x in (store.index(), docs))
+        assert kept == fresh and kept
+
+    same(s)
+    s.compact()
+    same(s)
+    i = s.index()
+    assert i.documents == 3 and i.words == 7
+    # a writer that read an older version is told so
+    old = s._manifest()
+    s.add("one more")
+    with pytest.raises(errors.ConflictError):
+        s._publish(old)
+    # a manifest that is not yet whole is passed over
+    (path / "manifest-000000000099.json").write_text('{"version": 9')
+    assert Store(spark, str(path)).count() == 4
+    with pytest.raises(errors.DimensionError):
+        s.add_all(spark.createDataFrame([("x", [1.0])], "text string, embedding array<float>"))
+    assert not list(Path(scratch_dir(spark).removeprefix("file:")).glob("added-*"))
+    out = io.StringIO()
+    assert s.export_document(out) == 4 and json.loads(out.getvalue())["count"] == 4
+    assert s.export(str(tmp_path / "dump"), "default") == 4 and s.all_documents("none").count() == 0
+
+
 def test_ingest_and_stream(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
