@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from corvella.functions import embed, text, vectors
@@ -10,6 +12,7 @@ from corvella.operators.eager import eager_join_aggregate, large_groups
 from corvella.operators.filters import filtered
 from corvella.plans.search import hybrid_search
 from corvella.security import audit_events, key_roles, role_table
+from corvella.session import scratch_dir
 from corvella.sources import files, store
 from corvella.streaming.live import operation_counts
 
@@ -221,8 +224,39 @@ for _name, _options, _sql in (
     ),
 ):
     Q[_name], SQL[_name] = _hybrid(**_options), _sql
-Q["hybrid_rerank"] = _hybrid(rerank=True)
-Q["hybrid_reflection"] = _hybrid(reflection=True)
+_OVERLAP = f"""(SELECT CASE WHEN len(qw) > 0 THEN len(list_intersect(qw, regexp_extract_all(lower(coalesce(d.text, '')), {_W})))::DOUBLE / len(qw) ELSE 0.0 END
+FROM documents d, (SELECT list_distinct(regexp_extract_all(lower(q.text), {_W})) AS qw FROM q WHERE q.qid = h.qid) WHERE d.doc_id = h.doc_id)"""
+Q["hybrid_rerank"], SQL["hybrid_rerank"] = _hybrid(rerank=True), _hybrid_sql(score=_OVERLAP)
+_MIRRORED = """hn AS (SELECT qid, doc_id, count(*) OVER (PARTITION BY qid) AS n, CASE WHEN sqrt(sum(score * score) OVER (PARTITION BY qid)) > 0 THEN score / sqrt(sum(score * score) OVER (PARTITION BY qid)) ELSE 1 / sqrt(count(*) OVER (PARTITION BY qid)) END AS a FROM h),
+hs AS (SELECT qid, doc_id, CASE WHEN n > 1 AND greatest(1, floor(pi() / (4 * asin(1 / sqrt(n)))))::BIGINT % 2 = 1 THEN 2 * avg(a) OVER (PARTITION BY qid) - a ELSE a END AS score FROM hn)"""
+Q["hybrid_reflection"], SQL["hybrid_reflection"] = _hybrid(reflection=True), _hybrid_sql().replace("hs AS (SELECT qid, doc_id, score AS score FROM h)", _MIRRORED)
+
+
+def _all_asked(spark, d):
+    """Every document whose id is divisible by 50 asks with its whole text, and the vector of that number."""
+    q = _docs(spark, d).where("doc_id % 50 = 0").select(F.col("doc_id").alias("qid"), "text")
+    return q.join(_read(spark, d, "embeddings").select(F.col("vec_id").cast("long").alias("qid"), F.col("embedding").alias("vector")), "qid", "left")
+
+
+def _over_all(sql):
+    return sql.replace(f"q(qid, text) AS (VALUES {_V})", "q AS (SELECT doc_id AS qid, text FROM documents WHERE doc_id % 50 = 0)")
+
+
+@query(_over_all(_hybrid_sql()))
+def hybrid_search_batch(spark, d):
+    return _scores(hybrid_search(_all_asked(spark, d), _docs(spark, d)), "place")
+
+
+@query(_over_all(SQL["hybrid_rerank"]))
+def hybrid_rerank_batch(spark, d):
+    return _scores(hybrid_search(_all_asked(spark, d), _docs(spark, d), rerank=True), "place")
+
+
+@query(_over_all(SQL["rrf_fusion"]))
+def rrf_fusion_batch(spark, d):
+    q = _all_asked(spark, d)
+    found = dense.dense_topk(q.select("qid", "vector"), _docs(spark, d), 160), sparse.bm25_topk(q.select("qid", "text"), _docs(spark, d), 160)
+    return _scores(fusion.reciprocal_rank_fusion(*found))
 
 
 @query(f"WITH {_BM.replace(_V, '(1, ' + chr(39) + 'zzzqqq' + chr(39) + ')')}, {_DN}, {_mm('dm', 'dn', 'dense')} SELECT qid, doc_id, round(dense, 6) AS score FROM dm")
@@ -310,7 +344,7 @@ def reflection_windowed(spark, d):
 # --- storage ---
 @query("SELECT count(*)::BIGINT AS n FROM documents")
 def count_all(spark, d):
-    return _docs(spark, d).agg(F.count(F.lit(1)).alias("n"))
+    return store.counted(_docs(spark, d))
 
 
 @query("SELECT n.name AS namespace, count(d.doc_id)::BIGINT AS documents FROM vault_namespaces n LEFT JOIN documents d ON d.namespace = n.name GROUP BY n.name")
@@ -320,7 +354,7 @@ def namespace_counts(spark, d):
 
 @query("SELECT DISTINCT name FROM vault_namespaces")
 def list_namespaces(spark, d):
-    return _read(spark, d, "vault_namespaces").select("name").distinct().orderBy("name")
+    return store.listed(_read(spark, d, "vault_namespaces"))
 
 
 @query("SELECT doc_id, text FROM documents WHERE namespace = 'default' ORDER BY created_at, doc_id LIMIT 20 OFFSET 10")
@@ -330,14 +364,45 @@ def namespace_page(spark, d):
 
 @query("SELECT doc_id, text, namespace FROM documents WHERE doc_id = 17")
 def get_doc(spark, d):
-    return _docs(spark, d).where("doc_id = 17").select("doc_id", "text", "namespace")
+    return store.by_id(_docs(spark, d), 17).select("doc_id", "text", "namespace")
 
 
-@query("SELECT (SELECT count(*) FROM documents)::BIGINT AS documents, (SELECT count(*) FROM vault_namespaces)::BIGINT AS namespaces, (SELECT count(*) FROM documents WHERE len(embedding) = 64)::BIGINT AS vectors")
+@query("""SELECT count(*)::BIGINT AS documents, count(*) FILTER (len(embedding) = 64)::BIGINT AS index_vectors, count(text)::BIGINT AS bm25_documents,
+(SELECT count(DISTINCT name) FROM vault_namespaces)::BIGINT AS namespaces FROM documents""")
 def store_stats(spark, d):
-    docs = _docs(spark, d).agg(F.count(F.lit(1)).alias("documents"), F.count(F.when(vectors.fits(F.col("embedding"), 64), 1)).alias("vectors"))
-    names = _read(spark, d, "vault_namespaces").agg(F.count(F.lit(1)).alias("namespaces"))
-    return docs.join(names).select("documents", "namespaces", "vectors")
+    s = store.summary(_read(spark, d, "vault_namespaces"), _docs(spark, d), 64)
+    return s.select("documents", "index_vectors", "bm25_documents", F.size("namespaces").cast("long").alias("namespaces"))
+
+
+@query("""SELECT n.name AS namespace, count(d.doc_id)::BIGINT AS documents FROM vault_namespaces n LEFT JOIN documents d ON d.namespace = n.name GROUP BY n.name""")
+def store_stats_by_namespace(spark, d):
+    s = store.summary(_read(spark, d, "vault_namespaces"), _docs(spark, d), 64)
+    return s.select(F.explode("namespace_counts").alias("namespace", "documents"))
+
+
+@query("SELECT doc_id, created_at FROM documents WHERE namespace = 'default'")
+def namespace_scan(spark, d):
+    return store.scan(_docs(spark, d), "default").select("doc_id", "created_at")
+
+
+def _opened(spark, d):
+    """A store of all documents in the scratch folder."""
+    s = store.Store(spark, f"{scratch_dir(spark)}/vault-{uuid.uuid4().hex}", audit=False)
+    s.add_all(_docs(spark, d).select(F.col("doc_id").cast("string"), "text", "metadata_json", F.coalesce("namespace", F.lit("none")).alias("namespace")))
+    return s
+
+
+@query("""SELECT doc_id::VARCHAR AS doc_id, coalesce(text, '') AS text, coalesce(namespace, 'none') AS namespace, coalesce(metadata_json, '{}') AS metadata_json FROM documents WHERE doc_id <> 17""")
+def store_insert_delete(spark, d):
+    s = _opened(spark, d)
+    s.delete("17")
+    return s.documents.select("doc_id", "text", "namespace", "metadata_json")
+
+
+@query(f"WITH {_BM} SELECT qid, round(score, 6) AS score, place FROM bm WHERE place <= 10")
+def bm25_stored_index(spark, d):
+    """By the postings and statistics that a store has written."""
+    return _scores(sparse.bm25_topk(_asked(spark, d), _opened(spark, d).index(), 10), "place").drop("doc_id")
 
 
 @query("SELECT doc_id, namespace FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM audit_log WHERE lower(operation) = 'delete' AND doc_id IS NOT NULL)")
@@ -354,22 +419,37 @@ def insert_dup_check(spark, d):
 
 @query("SELECT doc_id, text, metadata_json, namespace, modality, created_at FROM documents")
 def export_documents(spark, d):
-    return _docs(spark, d).select("doc_id", "text", "metadata_json", "namespace", "modality", "created_at")
+    return store.exported(_docs(spark, d))
 
 
-@query()
+_BLANK = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_ENDS = ", ".join(f"nullif(length(regexp_extract(v, '(?s)^(.+)' || {m}, 1)), 0) + {n}" for m, n in (("chr(10) || chr(10)", 2), ("chr(10)", 1), (r"'\. '", 2), ("'! '", 2), (r"'\? '", 2)))
+
+
+def chunk_sql(table, key, where="TRUE"):
+    """The windows of the chunker over a table's texts: ``(key, chunk_index, char_start, char_end, text)``."""
+    full = _BLANK.replace("[", "[^", 1)
+    return rf"""WITH RECURSIVE t AS (SELECT {key}, text, length(text)::BIGINT AS n FROM {table} WHERE regexp_matches(text, '{full}') AND {where}),
+w AS (SELECT {key}, text, n, 0::BIGINT AS a, -1::BIGINT AS f, 0::BIGINT AS i, NULL::BIGINT AS z, NULL::VARCHAR AS piece FROM t UNION ALL
+SELECT {key}, text, n, CASE WHEN z - 200 > CASE WHEN ok THEN a ELSE f END AND (ok OR f >= 0) THEN z - 200 ELSE z END, CASE WHEN ok THEN a ELSE f END, i + ok::BIGINT, z, CASE WHEN ok THEN s END
+FROM (SELECT *, regexp_matches(s, '{full}') AS ok FROM (SELECT *, substr(text, a + 1, z - a) AS s FROM (SELECT *, CASE WHEN a + 1000 >= n THEN a + 1000 ELSE a + coalesce({_ENDS}, 1000) END AS z
+FROM (SELECT {key}, text, n, a, f, i, substr(text, a + 1, 1000) AS v FROM w WHERE a < n)))))
+SELECT {key}, i - 1 AS chunk_index, f AS char_start, z AS char_end, regexp_replace(piece, '^{_BLANK}+|{_BLANK}+$', '', 'g') AS text FROM w WHERE piece IS NOT NULL"""
+
+
+@query(chunk_sql("documents", "doc_id"))
 def chunk_documents(spark, d):
     return files.chunk_documents(_docs(spark, d))
 
 
 @query("SELECT count(*)::BIGINT AS chunks, sum(length(text))::BIGINT AS chars FROM ingest_chunks")
 def ingest_totals(spark, d):
-    return _read(spark, d, "ingest_chunks").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length("text")).alias("chars"))
+    return store.batch_totals(_read(spark, d, "ingest_chunks")).select(F.col("count").alias("chunks"), "chars")
 
 
 @query()
 def html_extract(spark, d):
-    return _docs(spark, d).where("contains(text, '<')").select("doc_id", files.html_to_text(F.col("text")).alias("text"))
+    return _docs(spark, d).select("doc_id", files.html_to_text(F.col("text")).alias("text"))
 
 
 _EXT = "lower(regexp_extract(file_path, '[^/.](\\.[^./\\\\]+)$', 1))"
@@ -386,9 +466,11 @@ def modality_detect(spark, d):
     return _read(spark, d, "source_files").select("file_id", "seen_at", text.modality(F.col("file_path"), F.col("n_chars").isNotNull()).alias("modality"))
 
 
-@query("SELECT file_id, sha256(file_path) AS digest FROM source_files")
+@query("SELECT chunk_id, sha256(text) AS sha256 FROM ingest_chunks")
 def file_digest(spark, d):
-    return _read(spark, d, "source_files").select("file_id", F.sha2("file_path", 256).alias("digest"))
+    """Of the contents of files, for which the chunks' texts stand."""
+    f = _read(spark, d, "ingest_chunks").select(F.col("chunk_id").alias("path"), F.col("text").cast("binary").alias("content"))
+    return files.file_digests(f).withColumnRenamed("path", "chunk_id")
 
 
 @query(f"""WITH {_TERMS}, b AS (SELECT doc_id, (('0x' || substr(md5(term), 1, 8))::BIGINT % 64)::BIGINT AS bucket, sum(tf) AS c FROM post GROUP BY 1, 2)

@@ -66,3 +66,18 @@ def scratch(spark: SparkSession):
         for path in paths:
             p = spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def wide(spark: SparkSession, rows: int, per: int = 20_000):
+    """Shuffles of the jobs run inside have a partition for each ``per`` of ``rows``, or the session's number if that is more; adaptive execution joins small ones.
+
+    So a task's share stays the same however large the table is.  It holds for jobs that run inside, not for a lazy result that is read later.
+    """
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(max(int(before), -(-rows // per))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
