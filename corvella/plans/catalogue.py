@@ -430,10 +430,10 @@ def chunk_sql(table, key, where="TRUE"):
     """The windows of the chunker over a table's texts: ``(key, chunk_index, char_start, char_end, text)``."""
     full = _BLANK.replace("[", "[^", 1)
     return rf"""WITH RECURSIVE t AS (SELECT {key}, text, length(text)::BIGINT AS n FROM {table} WHERE regexp_matches(text, '{full}') AND {where}),
-w AS (SELECT {key}, text, n, 0::BIGINT AS a, -1::BIGINT AS f, 0::BIGINT AS i, NULL::BIGINT AS z, NULL::VARCHAR AS piece FROM t UNION ALL
-SELECT {key}, text, n, CASE WHEN z - 200 > CASE WHEN ok THEN a ELSE f END AND (ok OR f >= 0) THEN z - 200 ELSE z END, CASE WHEN ok THEN a ELSE f END, i + ok::BIGINT, z, CASE WHEN ok THEN s END
+w AS (SELECT {key}, text, n, 0::BIGINT AS a, -1::BIGINT AS f, 0::BIGINT AS i, []::BIGINT[] AS blanks, NULL::BIGINT AS z, NULL::VARCHAR AS piece FROM t UNION ALL
+SELECT {key}, text, n, CASE WHEN NOT ok AND list_contains(blanks, a) THEN z WHEN z - 200 > CASE WHEN ok THEN a ELSE f END AND (ok OR f >= 0) THEN z - 200 ELSE z END, CASE WHEN ok THEN a ELSE f END, i + ok::BIGINT, CASE WHEN ok THEN [] ELSE list_append(blanks, a) END, z, CASE WHEN ok THEN s END
 FROM (SELECT *, regexp_matches(s, '{full}') AS ok FROM (SELECT *, substr(text, a + 1, z - a) AS s FROM (SELECT *, CASE WHEN a + 1000 >= n THEN a + 1000 ELSE a + coalesce({_ENDS}, 1000) END AS z
-FROM (SELECT {key}, text, n, a, f, i, substr(text, a + 1, 1000) AS v FROM w WHERE a < n)))))
+FROM (SELECT {key}, text, n, a, f, i, blanks, substr(text, a + 1, 1000) AS v FROM w WHERE a < n)))))
 SELECT {key}, i - 1 AS chunk_index, f AS char_start, z AS char_end, regexp_replace(piece, '^{_BLANK}+|{_BLANK}+$', '', 'g') AS text FROM w WHERE piece IS NOT NULL"""
 
 
