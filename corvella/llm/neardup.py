@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvella.llm.graphs import components
-from corvella.session import staged
+from corvella.session import staged, wide
 
 _WORDS = re.compile(r"[^\W_]+")
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -241,6 +241,11 @@ def classes(prints: DataFrame, threshold: float, bands: int, rows: int) -> DataF
     of different components are compared, so each two nodes of a bucket are linked or compared.
     """
     n = prints.count()
+    with wide(prints.sparkSession, n):
+        return _classes(prints, n, threshold, bands, rows)
+
+
+def _classes(prints: DataFrame, n: int, threshold: float, bands: int, rows: int) -> DataFrame:
     parts = max(4 * int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n * bands // 2_000_000))
     stars = staged(candidate_links(prints, bands, rows, parts), "stars")
     pairs = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -265,10 +270,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def _grouped(docs, id_col, text_col, width, threshold, bands, rows):
     prints = staged(_fingerprints(docs, id_col, text_col, width), "prints")
     parents = classes(prints, threshold, bands, rows)
-    rooted = staged(
-        prints.select("doc_id", "node").distinct().join(parents, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("root")),
-        "rooted",
-    )
+    with wide(docs.sparkSession, prints.count()):
+        rooted = staged(
+            prints.select("doc_id", "node").distinct().join(parents, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("root")),
+            "rooted",
+        )
     groups = rooted.groupBy("root").agg(F.min("doc_id").alias("group_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
     return rooted.join(groups, "root").select("doc_id", "group_id", "node"), prints, parents
 

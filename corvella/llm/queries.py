@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvella.llm import chunks, leakage, mixture, neardup, pii, spam, vamana
+from corvella.plans.catalogue import chunk_sql
 from corvella.session import staged
 
 
@@ -132,6 +133,7 @@ l AS (SELECT a, b FROM c WHERE c >= 0.8 * (x + y - c)), r AS (SELECT o AS x, o A
 m AS (SELECT x, min(y) AS root FROM r GROUP BY x), d AS (SELECT k.doc_id, m.root, coalesce(e.links, 0) AS links FROM k JOIN o USING (k) JOIN m ON m.x = o.o LEFT JOIN (SELECT a, count(*) AS links FROM l GROUP BY a) e ON e.a = o.o)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY root) AS group_id, links::BIGINT AS links FROM d QUALIFY count(*) OVER (PARTITION BY root) > 1""",
     "p2_kept_words": "SELECT unnest(['address', 'email', 'id_number', 'name', 'phone']) AS kind, 0::BIGINT AS kept",
+    "p3_found": f"SELECT chunk_id, chunk_index AS piece_index, char_start, char_end FROM ({chunk_sql('ingest_chunks', 'chunk_id', 'length(text) > 1000')})",
     "p3_valley_cover": r"SELECT chunk_id, 0::BIGINT AS first_start, length(text)::BIGINT AS last_end, TRUE AS within FROM ingest_chunks WHERE length(text) > 1000 AND regexp_matches(text, '\S')",
     "p5_neighbours": """WITH v AS (SELECT doc_id, embedding::DOUBLE[] AS e FROM documents WHERE len(embedding) = 64), u AS (SELECT * FROM v WHERE list_inner_product(e, e) > 0),
 t AS (SELECT a.doc_id AS id, b.doc_id AS neighbour, list_cosine_similarity(a.e, b.e) AS s FROM u a JOIN u b ON a.doc_id <> b.doc_id WHERE a.doc_id % 50 = 0)

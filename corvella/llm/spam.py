@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvella.llm.neardup import classes
-from corvella.session import staged
+from corvella.session import staged, wide
 
 _TOKEN = re.compile(
     r"(?:https?://|www\.)\S+|[\w-]+(?:\.[\w-]+)+/\S*|\]\([^)\s]*\)|</?[a-z][^<>]*>|[^\W\d_]+|\d+"
@@ -192,8 +192,9 @@ def collocation_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     least = max(2.0, share * chars / 6)
     parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), chars // 4_000_000)
-    rows = _worded(docs)
-    ids, counts, total = _common(rows, least, parts)
+    with wide(spark, chars, 20_000_000):
+        rows = _worded(docs)
+        ids, counts, total = _common(rows, least, parts)
     known = spark.sparkContext.broadcast((ids, counts))
     log_n = np.log(max(total, 1))
 
@@ -293,13 +294,15 @@ def collocation_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return pa.table({"doc_id": col(ids), "pairs": col(sizes), "mean_pmi": col(gain / per), "repeated": col(over / per)})
 
     packed = "part int, batch bigint, ids binary, sizes binary, x binary, y binary, z binary, most binary"
-    return (
+    scores = (
         rows.mapInArrow(local, packed)
         .groupBy("part")
         .applyInArrow(meet, "batch bigint, ids binary, sizes binary, gain binary, over binary")
         .groupBy("batch")
         .applyInArrow(finish, "doc_id bigint, pairs bigint, mean_pmi double, repeated double")
     )
+    with wide(spark, chars, 20_000_000):
+        return staged(scores, "scores")
 
 
 def spam_pages(
@@ -320,7 +323,7 @@ def spam_pages(
     pairs of a short one decide nothing alone.  ``stuffed`` marks texts of which more than ``repeats`` are excessively repeated
     collocations, which finds spam that stands in the corpus several times.
     """
-    scores = staged(collocation_scores(docs, id_col, text_col), "scores")
+    scores = collocation_scores(docs, id_col, text_col)
     half, low = scores.agg(F.percentile_approx("mean_pmi", F.array(F.lit(0.5), F.lit(0.25)), 10_000)).first()[0] or (0.0, 0.0)
     bound = min(max(half - spread * (half - low), floor * half), ceiling * half)
     steadied = (F.col("mean_pmi") * F.col("pairs") + weight * half) / (F.col("pairs") + weight)
