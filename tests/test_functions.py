@@ -1,11 +1,15 @@
+import hashlib
 import math
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from corvella import errors
 from corvella.functions import embed, text
 from corvella.functions.chunking import cut_points
+from corvella.sources import files
 from corvella.sources.files import docx_text, html_text
 
 
@@ -66,3 +70,47 @@ def test_hash_embedding(spark):
     v = one(spark, embed.hash_embedding(F.lit("a b a"), 16))
     assert len(v) == 16 and math.isclose(sum(x * x for x in v), 1, rel_tol=1e-5)
     assert set(one(spark, embed.hash_embedding(F.lit(""), 16))) == {0.0}
+
+
+def test_models_are_loaded_once_a_worker_and_by_name(spark, tmp_path):
+    def loader(value):
+        def load():
+            with open(f"{tmp_path}/loads-{value}", "a") as f:
+                f.write("x")
+            return lambda xs: [[value, float(len(x))] for x in xs]
+
+        return load
+
+    one, two = embed.model_embedding("one", loader(3.0), 2), embed.model_embedding("two", loader(0.0))
+    d = spark.range(64).repartition(16).select(F.when(F.col("id") != 5, F.lit("abcd")).alias("t"))
+    got = d.select(one(F.col("t")).alias("a"), two(F.col("t")).alias("b")).collect()
+    assert one.dimension == 2 and embed.HASHING.dimension == 64
+    assert sum(r.a is None for r in got) == 1 and all([round(x, 4) for x in r.a] == [0.6, 0.8] and r.b == [0.0, 1.0] for r in got if r.a)
+    # 16 tasks, but no more loads than workers
+    assert all(len((tmp_path / f"loads-{v}").read_text()) <= 8 for v in (3.0, 0.0))
+
+
+def test_media_and_queries_of_any_kind(spark, tmp_path):
+    (tmp_path / "a.png").write_bytes(b"12345")
+    (tmp_path / "b.wav").write_bytes(b"hello world")
+    (tmp_path / "c.txt").write_text("no")
+    image = embed.Embedder(F.pandas_udf(lambda s: s.map(lambda b: [float(len(b)), 0.0]), "array<float>"), 2)
+    assert [r.embedding for r in files.embedded(files.read_images(spark, str(tmp_path)), image).collect()] == [[5.0, 0.0]]
+    heard = files.transcribed_and_embedded(files.read_sounds(spark, str(tmp_path)), embed.HASHING, load=lambda: lambda xs: [x.decode() for x in xs]).first()
+    assert heard.text == "hello world" and len(heard.embedding) == 64
+    with pytest.raises(FileNotFoundError):
+        files.read_sounds(spark, str(tmp_path / "none.wav"))
+    with pytest.raises(errors.FileIngestError):
+        files.read_sounds(spark, str(tmp_path / "c.txt"))
+    told = lambda q, **o: list(embed.query_vector(spark, q, **o))
+    assert told(str(tmp_path / "a.png"), image=image) == [5.0, 0.0]
+    assert told(str(tmp_path / "b.wav"), transcribe=bytes.decode) == told("hello world") == list(heard.embedding)
+    assert told("none.png") == told("none png")
+    for q, o in ((str(tmp_path / "a.png"), {}), ("x", {"modality": "smell"})):
+        with pytest.raises(ValueError):
+            told(q, **o)
+
+
+def test_digests_are_of_the_content(spark):
+    d = spark.createDataFrame([("p", bytearray(b"abc"))], "path string, content binary")
+    assert files.file_digests(d).first().sha256 == hashlib.sha256(b"abc").hexdigest()
