@@ -105,3 +105,39 @@ def test_hybrid_post_and_prefilter(spark):
     assert hybrid_search(q, d, 2, 1.0, namespace="b", dim=2, prefilter=True).count() == 2
     with pytest.raises(Exception, match="alpha"):
         hybrid_search(q, d, 2, float("nan"))
+
+
+def shuffled(spark, df):
+    """Rows of ``df``, and how many were shuffled for them."""
+    sc = spark.sparkContext
+    sc.setJobGroup(group := f"shuffled-{id(df)}", "")
+    rows = df.collect()
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = {s for j in sc.statusTracker().getJobIdsForGroup(group) for s in sc.statusTracker().getJobInfo(j).stageIds}
+    sc.setJobGroup("", "")
+    return rows, sum(sc._jsc.sc().statusStore().lastStageAttempt(s).shuffleWriteRecords() for s in stages)
+
+
+def test_bm25_topk_shuffles_no_row_a_query_and_document(spark):
+    texts = [f"ward w{i % 7} w{i % 5} w{i % 3} own{i}" for i in range(300)] + ["other"] * 400
+    q = asked(spark, *texts[:300])
+    rows, n = shuffled(spark, sparse.bm25_topk(q, docs(spark, texts).repartition(4), 3))
+    assert len(rows) == 900 and n <= 4 * 900 + 5000
+    for i in (0, 17, 299):
+        best = sorted(((-round(s, 9), j) for j, s in enumerate(okapi(texts, texts[i]))))[:3]
+        assert [r.doc_id for r in sorted(rows, key=lambda r: r.place) if r.qid == i] == [j for _, j in best]
+
+
+def test_bm25_topk_blocks_slices_and_ids_of_any_kind(spark):
+    texts = [*(f"a b{i % 3} c{i % 4} c{i % 4} d{i // 2}" for i in range(40)), None, "", *["x"] * 60]
+    q = spark.createDataFrame([("one", "a b1 c2 c2 d3"), ("two", "d7 zzz d7"), ("none", "zzz")], "qid string, text string")
+    d = docs(spark, texts).selectExpr("lpad(doc_id, 3, '0') AS doc_id", "text")
+    want = [(qid, f"{j:03}", p) for qid, t in (("one", "a b1 c2 c2 d3"), ("two", "d7 d7")) for p, (s, j) in enumerate(sorted((-round(s, 9), j) for j, s in enumerate(okapi(texts, t)))[:5], 1) if s < 0]
+    for options in ({}, {"most_bytes": 100}):
+        got = sparse.bm25_topk(q, d, 5, **options).collect()
+        assert sorted((r.qid, r.doc_id, r.place) for r in got) == sorted(want)
+    index = sparse.indexed(docs(spark, texts))
+    known = sparse._weighed(sparse._asked(q, None), index, lambda x: x).selectExpr("qid", "term", "times * idf AS weight")
+    for dense_share in (0, 10**9):
+        found = sparse._pass(known, sparse.doc_terms(d).select("doc_id", "terms"), 5, sparse._avgdl(index), rows=1, width=3, dense=dense_share, pairs=2)
+        assert sorted((r.qid, r.doc_id, r.place) for r in sparse.ranked(found, 5).collect()) == sorted(want)
