@@ -1,6 +1,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from corvella.operators import dense, fusion, rank, sparse
 from corvella.operators.filters import filtered
@@ -141,3 +142,12 @@ def test_bm25_topk_blocks_slices_and_ids_of_any_kind(spark):
     for dense_share in (0, 10**9):
         found = sparse._pass(known, sparse.doc_terms(d).select("doc_id", "terms"), 5, sparse._avgdl(index), rows=1, width=3, dense=dense_share, pairs=2)
         assert sorted((r.qid, r.doc_id, r.place) for r in sparse.ranked(found, 5).collect()) == sorted(want)
+
+
+def test_hybrid_search_of_all_documents_shuffles_no_row_a_query_and_document(spark):
+    texts = [f"ward w{i % 7} own{i}" for i in range(300)]
+    d = docs(spark, texts).selectExpr("*", "'{}' AS metadata_json", "'a' AS namespace", "'text' AS modality", "1.0D AS created_at", "array(1.0F, float(doc_id)) AS embedding").repartition(4)
+    q = d.selectExpr("doc_id AS qid", "text", "CASE WHEN doc_id < 2 THEN embedding END AS vector")
+    rows, n = shuffled(spark, hybrid_search(q, d, 1, 0.25, dim=2))
+    assert n <= 45_000  # one for each query and document is 90,000
+    assert [(r.qid, r.doc_id) for r in sorted(rows)] == [(i, i) for i in range(300)]
