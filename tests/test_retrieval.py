@@ -151,3 +151,15 @@ def test_hybrid_search_of_all_documents_shuffles_no_row_a_query_and_document(spa
     rows, n = shuffled(spark, hybrid_search(q, d, 1, 0.25, dim=2))
     assert n <= 45_000  # one for each query and document is 90,000
     assert [(r.qid, r.doc_id) for r in sorted(rows)] == [(i, i) for i in range(300)]
+
+
+def test_reciprocal_ranks_of_all_documents_shuffle_no_row_a_query_and_document(spark):
+    texts = [f"ward w{i % 7} own{i}" for i in range(300)]
+    d = docs(spark, texts).withColumn("embedding", F.array(F.lit(1.0), F.col("doc_id").cast("double"))).repartition(4)
+    q = d.selectExpr("doc_id AS qid", "text", "CASE WHEN doc_id = 7 THEN embedding END AS vector")
+    found = dense.dense_topk(q.select("qid", "vector"), d, 4, 2), sparse.bm25_topk(q.select("qid", "text"), d, 4)
+    rows, n = shuffled(spark, fusion.reciprocal_rank_fusion(*found))
+    assert n <= 45_000  # one for each query and document is 90,000
+    best = {r.qid: (r.doc_id, round(r.score, 9)) for r in rows if r.place == 1}
+    assert best == {i: (299 if i == 7 else i, round(0.5 / 61, 9)) for i in range(300)}  # a tie of 299 and 7 goes to the dense side
+    assert {r.doc_id for r in rows if r.qid == 7} >= {299, 298, 297, 296, 7}
