@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+from contextlib import ExitStack
 from pathlib import Path
 
 import numpy as np
@@ -10,12 +11,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvella.session import staged
+from corvella.session import scratch, staged
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how this tokenizer cuts text before it merges bytes.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 
+#: Fixed value: from this part of its limit on, a use stands at it.
+AT_LIMIT = 1 - 1e-9
+
 
 def token_counts(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCABULARY, name: str = "tokens") -> DataFrame:
     """The columns of ``docs`` but for the text, and its number of tokens; 0 for null or empty texts.
@@ -51,14 +55,14 @@ def rake(
 
     ``cells`` has a column for each dimension, ``targets`` the wanted tokens by dimension and level (the first is met
     last and exactly), ``most`` the largest use of a cell.  Where uses reach their limit, what they lack falls to
-    the other cells of the same level.
+    the other cells of the same level.  A use that misses its limit by rounding stands at it, so the order of sums decides nothing.
     """
     use = np.ones(len(tokens))
     for _ in range(rounds):
         before = use.copy()
         for k in reversed(range(len(targets))):
             for _ in range(len(tokens) + 1 if k == 0 else 1):
-                free = use < most
+                free = use < most * AT_LIMIT
                 fixed = np.bincount(cells[:, k], np.where(free, 0, use * tokens), len(targets[k]))
                 loose = np.bincount(cells[:, k], np.where(free, use * tokens, 0), len(targets[k]))
                 want = np.maximum(targets[k] - fixed, 0)
@@ -70,37 +74,58 @@ def rake(
                     break
             # a level whose cells all stand at their limit but are wanted less comes down as a whole
             have = np.bincount(cells[:, k], use * tokens, len(targets[k]))
-            down = np.where((have > targets[k]) & (have > 0), targets[k] / np.where(have > 0, have, 1), 1.0)
+            down = np.where((have * AT_LIMIT > targets[k]) & (have > 0), targets[k] / np.where(have > 0, have, 1), 1.0)
             use = use * down[cells[:, k]]
         if np.abs(use - before).max(initial=0) < tolerance:
             break
     return use
 
 
-def rake_frame(cells: DataFrame, sides: dict[str, DataFrame], rounds: int = 30, tolerance: float = 1e-4) -> DataFrame:
-    """``rake`` for cells that are too many for the driver: ``(source, lang, topic, tokens, most, use)``.
+def rake_frame(cells: DataFrame, sides: dict[str, DataFrame], rounds: int = 100, tolerance: float = 1e-9) -> DataFrame:
+    """``rake`` for cells that are too many for the driver: ``(source, lang, topic, tokens, most, use)``, the same uses but for the order of sums.
 
-    ``sides`` has ``(level, target)`` for each dimension, in the order in which they are met; the last is scaled three times a round, as what
-    its levels lack where uses reach their limit falls to the others.  A round is written to the shared folder, whence the next begins.
+    ``sides`` has ``(level, target)`` for each dimension, in the order in which they are met; the last is scaled until no use reaches its limit, as what
+    its levels lack where uses do falls to the others.  What a round begins with is in the shared folder, and is deleted when the next is.
     """
-    state = cells.withColumn("use", F.lit(1.0))
-    for _ in range(rounds):
-        before = state.select("source", "lang", "topic", F.col("use").alias("_before"))
-        for n, (dim, side) in enumerate(sides.items()):
-            for _ in range(3 if n == len(sides) - 1 else 1):
-                free = F.col("use") < F.col("most")
-                spent = F.col("use") * F.col("tokens")
-                level = state.groupBy(F.col(dim).alias("_level")).agg(F.sum(F.when(free, spent).otherwise(0.0)).alias("_loose"), F.sum(F.when(free, 0.0).otherwise(spent)).alias("_fixed"))
-                level = level.join(side, level["_level"].eqNullSafe(side["level"])).select("_level", "_loose", "_fixed", "target")
-                raised = F.when(free & (F.col("_loose") > 0), F.least("most", F.col("use") * F.greatest(F.col("target") - F.col("_fixed"), F.lit(0.0)) / F.col("_loose"))).otherwise(F.col("use"))
-                # a level whose cells at their limit are wanted less comes down
-                down = F.least(F.lit(1.0), F.col("target") / F.when(F.col("_fixed") > 0, F.col("_fixed")))
-                state = state.join(level, state[dim].eqNullSafe(level["_level"])).withColumn("use", F.when(free, raised).otherwise(F.col("use") * F.coalesce(down, F.lit(1.0)))).select("source", "lang", "topic", "tokens", "most", "use")
-        state = staged(state, "raked")
-        both = state.join(before, state["source"].eqNullSafe(before["source"]) & state["lang"].eqNullSafe(before["lang"]) & state["topic"].eqNullSafe(before["topic"]))
-        if (both.agg(F.max(F.abs(F.col("use") - F.col("_before")))).first()[0] or 0.0) < tolerance:
-            break
-    return state
+    state, n = cells.withColumns({"use": F.lit(1.0), "_before": F.lit(1.0), "_over": F.lit(False)}), cells.count()
+    *first, last = sides
+    held = ExitStack()
+    with ExitStack() as ended:
+        ended.callback(lambda: held.close())
+
+        def step(state: DataFrame, *dims: str) -> tuple[DataFrame, bool, float]:
+            nonlocal held
+            for dim in dims:
+                state = _scaled(state, dim, sides[dim])
+            now = ExitStack()
+            state = now.enter_context(scratch(cells.sparkSession))(state, "raked")
+            held.close()
+            held = now
+            over, moved = state.agg(F.max("_over"), F.max(F.abs(F.col("use") - F.col("_before")))).first()
+            return state, bool(over), moved or 0.0
+
+        for _ in range(rounds):
+            state, over, moved = step(state.withColumn("_before", F.col("use")), *first, last)
+            for _ in range(n):
+                if not over:
+                    break
+                state, over, moved = step(state, last)
+            if moved < tolerance:
+                break
+        return staged(state.drop("_before", "_over"), "raked")
+
+
+def _scaled(state: DataFrame, dim: str, side: DataFrame) -> DataFrame:
+    """One step of ``rake``: uses below their limit are scaled to the target of their level; ``_over`` tells which would pass the limit."""
+    free = F.col("use") < F.col("most") * AT_LIMIT
+    spent = F.col("use") * F.col("tokens")
+    level = state.groupBy(F.col(dim).alias("_level")).agg(F.sum(F.when(free, spent).otherwise(0.0)).alias("_loose"), F.sum(F.when(free, 0.0).otherwise(spent)).alias("_fixed"))
+    level = level.join(side, level["_level"].eqNullSafe(side["level"])).select("_level", "_loose", "_fixed", "target")
+    raised = F.when(free & (F.col("_loose") > 0), F.col("use") * F.greatest(F.col("target") - F.col("_fixed"), F.lit(0.0)) / F.col("_loose")).otherwise(F.col("use"))
+    # a level whose cells at their limit are wanted less comes down
+    down = F.when((F.col("_fixed") > 0) & (F.col("_fixed") * AT_LIMIT > F.col("target")), F.col("target") / F.col("_fixed"))
+    new = state.join(level, state[dim].eqNullSafe(level["_level"])).withColumns({"_raised": raised, "_lower": F.when(free, F.lit(1.0)).otherwise(F.coalesce(down, F.lit(1.0)))})
+    return new.select("source", "lang", "topic", "tokens", "most", (F.least("most", "_raised") * F.col("_lower")).alias("use"), "_before", (F.col("_raised") > F.col("most")).alias("_over"))
 
 
 def plan_mix(counted: DataFrame, targets: DataFrame, driver_cells: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
@@ -108,7 +133,7 @@ def plan_mix(counted: DataFrame, targets: DataFrame, driver_cells: int = 1_000_0
 
     The mix is as large as all of ``counted``.  Source marginals are the target shares, or all a source can give at
     ``max_repeats``; those of language and topic are their shares of the tokens of the sources in the mix.  Every language and topic is a level of its own,
-    null too.  Up to ``driver_cells`` cells are raked on the driver (60 MB at that number), more by ``rake_frame``.  A source ``misses`` its share if the raked
+    null too.  Up to ``driver_cells`` cells are raked on the driver (60 MB at that number), more by ``rake_frame``, which takes the same steps, so the number of cells decides only where they are raked.  A source ``misses`` its share if the raked
     cells give less.  Null sources or shares are left out, a null ``max_repeats`` is 1, of repeated sources the largest values hold.
     """
     spark = counted.sparkSession

@@ -367,6 +367,38 @@ def test_rake_on_the_cluster_gives_what_the_driver_gives(spark):
     spark.conf.set("spark.sql.shuffle.partitions", 4)
 
 
+def test_rake_on_the_cluster_takes_the_steps_of_the_driver(spark):
+    rnd = np.random.default_rng(2)
+    n = 60
+    place = np.stack([rnd.integers(0, 4, n), rnd.integers(0, 3, n), rnd.integers(0, 5, n)], 1)
+    tokens, most = rnd.integers(100, 500, n), np.array([2.0, 1, 3, 1])[place[:, 0]]
+    have = [np.bincount(place[:, k], tokens, m) for k, m in enumerate((4, 3, 5))]
+    goal = np.minimum(np.array([0.3, 0.3, 0.25, 0.15]) * tokens.sum(), have[0] * [2, 1, 3, 1])
+    targets = [goal] + [h / tokens.sum() * goal.sum() for h in have[1:]]
+    use = mixture.rake(tokens.astype(float), place, targets, most)
+    rows = [(*(str(v) for v in place[i]), int(tokens[i]), float(most[i])) for i in range(n)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens bigint, most double")
+    sides = {c: spark.createDataFrame([(str(i), float(v)) for i, v in enumerate(targets[k])], "level string, target double") for c, k in (("topic", 2), ("lang", 1), ("source", 0))}
+    spark.conf.set("spark.sql.shuffle.partitions", 1)
+    got = sorted((r.source, r.lang, r.topic, r.tokens, r.use) for r in mixture.rake_frame(cells, sides).collect())
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    want = sorted((*rows[i][:4], float(use[i])) for i in range(n))
+    assert [g[:4] for g in got] == [w[:4] for w in want]
+    assert max(abs(g[4] - w[4]) for g, w in zip(got, want, strict=True)) < 1e-9
+
+
+def test_rake_gives_the_same_in_any_order_of_cells():
+    for seed in range(60):
+        rnd = np.random.default_rng(seed)
+        place = np.stack([rnd.integers(0, m, 60) for m in (4, 3, 5)], 1)
+        tokens, most = rnd.integers(100, 500, 60).astype(float), np.array([2.0, 1, 3, 1])[place[:, 0]]
+        have = [np.bincount(place[:, k], tokens, m) for k, m in enumerate((4, 3, 5))]
+        goal = np.minimum(np.array([0.3, 0.3, 0.25, 0.15]) * tokens.sum(), have[0] * [2, 1, 3, 1])
+        targets = [goal] + [h / tokens.sum() * goal.sum() for h in have[1:]]
+        turn = rnd.permutation(60)
+        assert np.abs(mixture.rake(tokens, place, targets, most)[turn] - mixture.rake(tokens[turn], place[turn], targets, most[turn])).max() < 1e-9
+
+
 def test_mix(spark):
     rnd = random.Random(3)
     rows = [(i, ("a" if i < 300 else "b" if i < 400 else "c" if i < 405 else None), prose(rnd, rnd.randrange(5, 60)), ("EN" if i % 3 else None), ('{"type": "x"}' if i % 2 else "{bro"), 1) for i in range(450)]
